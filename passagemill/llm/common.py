@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,3 +73,15 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within, jobs hand Python at most ``rows`` rows at once: for rows that hold whole tiles or blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

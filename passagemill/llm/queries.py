@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, piece_codec, quality, url_filter
+from . import near_dup, packing, piece_codec, quality, secret_scan, topk, url_filter
 from .common import table
 
 #: Rules of op6 (host, path, verdict).
@@ -30,6 +30,20 @@ def byte_level_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("strong", lambda p: p["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.written(F.col("strong")).cast("binary"), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), **near_dup.NARROW)
+    return found.select("doc_id", near_dup.fingerprint_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -39,6 +53,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), byte_level_pattern())
 
@@ -47,5 +65,5 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_url_filters, op9_packing, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_near_duplicates, op5_quality_rules, op6_url_filters, op8_exact_top_k, op9_packing, op10_piece_codec)}
 ORACLE_SQL: dict[str, str] = {}
