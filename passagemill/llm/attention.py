@@ -1,10 +1,10 @@
 """A causal self-attention language model over subword classes, in numpy. No Spark in here.
 
 Subword ids belong to classes: frequent ids have one each, others share one by the company they keep. The model gives
-classes a probability; within a class ids have their smoothed corpus frequency. A token's probability is the product, so
+classes a probability; within a class an id has its corpus frequency after the group of the class before it, smoothed by its frequency. A token's probability is the product, so
 the probabilities of all ids sum to one after any context.
 
-One layer: the class before a token and an attention over the classes before it (keys, queries and values are look-ups,
+One layer: the two classes before a token and an attention over the classes before it (keys, queries and values are look-ups,
 places relative) go through a tanh layer to the class logits. Texts are cut into blocks of ``BLOCK`` tokens; a block
 sees itself, causally, and the ``CONTEXT`` tokens before it, so windows overlap and each token is scored once.
 """
@@ -15,13 +15,14 @@ import numpy as np
 
 BLOCK, CONTEXT = 32, 16
 SPAN = BLOCK + CONTEXT
+BEFORE = 64
 #: How far each query of a block is from each key of its window; keys from the future are masked.
 DISTANCE = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
 FUTURE = np.where(DISTANCE < 0, np.float32(-1e9), np.float32(0))
 
 
 class Classes:
-    """Which class each id has, and the log probability of the id in it."""
+    """Which class each id has, and the log probability of the id in it after a group of classes."""
 
     def __init__(self, counts: np.ndarray, previous: np.ndarray, following: np.ndarray, singles: int = 96, shared: int = 64, seed: int = 0):
         """``counts`` of all ids; ``previous`` and ``following`` ids of a sample of adjacent pairs."""
@@ -43,9 +44,25 @@ class Classes:
         self.of[order[singles + 8192 :]] = singles + shared - 1
         self.of[rest] = singles + group
         self.size = singles + shared
-        smooth = counts + 0.05
-        total = np.bincount(self.of, smooth, self.size)
-        self.inside = (np.log(smooth) - np.log(total[self.of])).astype(np.float32)
+        # the class before narrows down which id of a class it is; before-classes of like followers count together
+        moves = np.zeros((self.size, self.size))
+        np.add.at(moves, (self.of[previous], self.of[following]), 1)
+        before = self._cluster(np.sqrt(moves / np.maximum(1, moves.sum(axis=1, keepdims=True))), BEFORE, np.random.default_rng(seed))
+        self.before = np.append(before, 0).astype(np.int64)  # the start counts like group 0
+        self.inside = np.zeros((BEFORE, len(counts)), np.float32)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where each id of one text, given the class before it, is in a flat (group before, id) table."""
+        return self.before[np.append(self.size, self.of[ids[:-1]])] * len(self.of) + ids
+
+    def learn_inside(self, table: np.ndarray, weight: float = 5.0) -> None:
+        """Set the log probabilities of ids in their classes from counts by (group before, id)."""
+        table = table.reshape(BEFORE, -1)
+        all_ = table.sum(axis=0) + 0.05
+        prior = all_ / np.bincount(self.of, all_, self.size)[self.of]
+        for g in range(BEFORE):
+            of_class = np.bincount(self.of, table[g], self.size)
+            self.inside[g] = np.log((table[g] + weight * prior) / (of_class + weight)[self.of])
 
     @staticmethod
     def _cluster(points: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
@@ -83,7 +100,7 @@ def blocks_of(sequences: list[np.ndarray], start: int) -> tuple[np.ndarray, np.n
 
 
 class Model:
-    SHAPES = (("query", 16), ("key", 16), ("value", 24), ("own", 32))
+    SHAPES = (("query", 16), ("key", 16), ("value", 24), ("own", 32), ("prior", 32))
 
     def __init__(self, size: int, seed: int = 0):
         random = np.random.default_rng(seed)
@@ -121,6 +138,7 @@ class Model:
         read = np.matmul(weights, v)
         hidden = read.reshape(-1, read.shape[2]) @ p["mix"]
         hidden += p["own"][known[:, CONTEXT:]].reshape(len(hidden), -1)
+        hidden += p["prior"][known[:, CONTEXT - 1 : -1]].reshape(len(hidden), -1)
         np.tanh(hidden, out=hidden)
         logits = hidden @ p["out"]
         logits += p["bias"]
@@ -174,7 +192,7 @@ class Model:
         d_k = np.matmul(d_weights.transpose(0, 2, 1), q)
         g["near"] = np.bincount(np.maximum(DISTANCE, 0).reshape(-1), d_weights.sum(axis=0).reshape(-1), SPAN).astype(np.float32)
         current = known[:, CONTEXT:].reshape(-1)
-        for n, rows, d in (("query", current, d_q), ("key", known.reshape(-1), d_k), ("value", known.reshape(-1), d_v), ("own", current, d_hidden)):
+        for n, rows, d in (("query", current, d_q), ("key", known.reshape(-1), d_k), ("value", known.reshape(-1), d_v), ("own", current, d_hidden), ("prior", known[:, CONTEXT - 1 : -1].reshape(-1), d_hidden)):
             d = d.reshape(len(rows), -1)
             g[n] = np.stack([np.bincount(rows, d[:, c], self.size + 1) for c in range(d.shape[1])], axis=1).astype(np.float32)
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dup, packing, piece_codec, quality, secret_scan, sharding, topk, url_filter
+from . import language_id, lm_scoring, near_dup, packing, piece_codec, quality, secret_scan, sharding, topk, url_filter
 from .common import id_bucket, shared_dir, table
 
 #: Rules of op6 (host, path, verdict).
@@ -32,6 +32,13 @@ def byte_level_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(id_bucket(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = lm_scoring.score_all(docs, ~held, vocabulary("byte_bpe_50k.json"), byte_level_pattern())
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("strong", lambda p: p["kind"] == kind)).cast("long")
@@ -84,7 +91,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_near_duplicates, op4_language_id, op5_quality_rules, op6_url_filters, op7_sharding, op8_exact_top_k, op9_packing, op10_piece_codec)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_secret_scans, op3_near_duplicates, op4_language_id, op5_quality_rules, op6_url_filters, op7_sharding, op8_exact_top_k, op9_packing, op10_piece_codec)}
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filters": r"""
         WITH rules(rule_host, rule_path, verdict) AS (VALUES
