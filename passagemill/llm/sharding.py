@@ -3,11 +3,11 @@
 Method. Each arrival is appended as small immutable shards. A version of the store is a manifest that lists its shards; it is
 committed by one atomic rename to the next version's name, which fails if another writer took it, so readers see one
 version or the next and never a mixture. Compaction looks at the shards by size tier (powers of ``growth`` below the
-target size), takes runs of ``fan_in`` or more from one tier, groups them up to the target size, rewrites each group as one
-shard, and commits a version that lists the new shards instead of the old ones. Tiers make every byte be
-rewritten at most once per tier. Unlisted files are deleted by :func:`vacuum`, after the commit.
+target size), takes runs of ``fan_in`` or more of one tier, rewrites each run as shards of about the target size,
+and commits a version that lists the new shards instead of the old ones. Tiers make every byte be
+rewritten at most once per tier. Unlisted files are deleted by :meth:`ShardStore.vacuum`, after the commit.
 
-A compaction job is one Spark job: rows carry their group and are dealt to one writer a group, whose size the target bounds.
+A merge is one Spark job without a shuffle: a task writes one shard and reads old shards' splits for it, about the target size in all.
 Lost executors only repeat tasks: shards of an attempt that wasn't committed are in no manifest.
 
 Defined results. Nulls, repeated rows and very long texts are stored as they are; extra columns too. An empty arrival
@@ -21,7 +21,6 @@ import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TARGET_BYTES = 128 << 20
@@ -82,40 +81,30 @@ class ShardStore:
         return self.commit(base, base["shards"] + self._shards_in(folder, 0), rows.schema.json())
 
     def plan(self, shards: list[dict], target: int = TARGET_BYTES, growth: int = 4, fan_in: int = 4) -> list[list[dict]]:
-        """Groups of shards to merge: runs of one size tier, up to the target size each."""
+        """Runs of shards to merge, each of one size tier: ``fan_in`` shards or more, or fewer that fill half a target."""
         tiers: dict[int, list[dict]] = {}
         for shard in shards:
-            if shard["bytes"] < target:
-                tiers.setdefault(int(math.log(max(1, target / max(1, shard["bytes"])), growth)), []).append(shard)
-        groups = []
-        for members in tiers.values():
-            run, size = [], 0
-            for shard in sorted(members, key=lambda s: s["path"]):
-                if run and size + shard["bytes"] > target:
-                    groups.append(run)
-                    run, size = [], 0
-                run.append(shard)
-                size += shard["bytes"]
-            groups.append(run)
-        return [g for g in groups if len(g) >= fan_in or len(g) > 1 and sum(s["bytes"] for s in g) >= target // 2]
+            if 2 * shard["bytes"] < target:
+                tiers.setdefault(int(math.log(target / max(1, shard["bytes"]), growth)), []).append(shard)
+        return [sorted(run, key=lambda s: s["path"]) for run in tiers.values() if len(run) >= fan_in or len(run) > 1 and 2 * sum(s["bytes"] for s in run) >= target]
 
     def compact(self, target: int = TARGET_BYTES, growth: int = 4, fan_in: int = 4) -> dict:
-        """Merge until no tier has a run to merge; each round commits a version."""
+        """Merge run after run until no tier has one; each merge commits a version."""
         while True:
             base = self.manifest()
-            groups = self.plan(base["shards"], target, growth, fan_in)
-            if not groups:
+            for run in self.plan(base["shards"], target, growth, fan_in):
+                files = max(1, round(sum(s["bytes"] for s in run) / target))
+                if files < len(run):
+                    break
+            else:
                 return base
-            number = {s["path"]: k for k, g in enumerate(groups) for s in g}
             schema = T.StructType.fromJson(json.loads(base["schema"]))
-            rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in number))
-            # a shard's name is unique by its folder and file; a small table maps it to its group
-            names = self.spark.createDataFrame(sorted((p.removeprefix("shards/"), k) for p, k in number.items()), "shard_name string, group_no int")
-            tagged = rows.withColumn("shard_name", F.regexp_extract("_metadata.file_path", r"shards/([^/]+/[^/]+)$", 1)).join(names, "shard_name").drop("shard_name")
             folder = f"shards/{uuid.uuid4().hex}"
-            tagged.repartitionByRange(len(groups), "group_no").drop("group_no").write.parquet(f"{self.root}/{folder}")
-            kept = [s for s in base["shards"] if s["path"] not in number]
-            self.commit(base, kept + self._shards_in(folder, 1 + max(s["merges"] for g in groups for s in g)), base["schema"])
+            # merging shards needs no shuffle: a writer reads some shards' splits one after the other
+            self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in run)).coalesce(files).write.parquet(f"{self.root}/{folder}")
+            gone = {s["path"] for s in run}
+            kept = [s for s in base["shards"] if s["path"] not in gone]
+            self.commit(base, kept + self._shards_in(folder, 1 + max(s["merges"] for s in run)), base["schema"])
             self.vacuum()
 
     def vacuum(self) -> None:
