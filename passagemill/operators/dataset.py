@@ -23,8 +23,8 @@ from ..functions.lengths import Counter, count_words
 from ..functions.questions import VALID, explode_questions, has_answer_text, read_sources
 from . import evidence
 
-_SPAN = T.StructType.fromDDL("citation_id string, start int, end int, source_start int, source_end int")
-_EVENT = T.StructType.fromDDL("rule string, count int, removed_characters int")
+_SPAN = schemas.schema("citation_id string, start int, end int, source_start int, source_end int")
+_EVENT = schemas.schema("rule string, count int, removed_characters int")
 PREPARED = T.StructType([
     T.StructField("source_row", T.LongType()), T.StructField("document_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(_SPAN)),
     T.StructField("events", T.ArrayType(_EVENT)), T.StructField("entities", T.IntegerType()), T.StructField("chunks", T.ArrayType(T.StructType(CHUNK_SCHEMA.fields[1:]))),

@@ -5,8 +5,39 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _s(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_ATOMS = {"string": T.StringType, "bigint": T.LongType, "int": T.IntegerType, "double": T.DoubleType, "float": T.FloatType, "boolean": T.BooleanType}
+
+
+def _split(text: str) -> list[str]:
+    """Parts between the commas that aren't inside angle brackets."""
+    parts, depth = [""], 0
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [p.strip() for p in parts]
+
+
+def _type(text: str) -> T.DataType:
+    name, _, inner = text.partition("<")
+    inner = inner[:-1]
+    if name == "array":
+        return T.ArrayType(_type(inner))
+    if name == "map":
+        return T.MapType(*map(_type, _split(inner)))
+    if name == "struct":
+        return T.StructType([T.StructField(n.strip(), _type(t.strip())) for n, _, t in (f.partition(":") for f in _split(inner))])
+    return _ATOMS[name]()
+
+
+def schema(ddl: str) -> T.StructType:
+    """A schema from its text; unlike Spark's own parser it needs no session."""
+    return T.StructType([T.StructField(n.strip("`"), _type(t.strip())) for n, _, t in (f.partition(" ") for f in _split(ddl))])
+
+
+_s = schema
 
 
 SOURCE_ROWS = _s("id string, question_texts string, output string, data string")
