@@ -26,11 +26,11 @@ def _as_before(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, boilerplate lines of the others too."""
-    return _as_before(docs, quality.without_boilerplate(quality.judge(docs)))
+    return _as_before(docs, quality.without_boilerplate(docs))
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or without a main one, go."""
+    """Documents without a language, or without a main one, go. Rows that share an id stay together if one of them stays."""
     model = language_id.fit(docs.filter(language_id.learnable(docs)))
     found = language_id.identify(docs, model, with_spans=False)
     kept = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(F.col("doc_id").alias("kept_id")).distinct()

@@ -49,6 +49,21 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Holds a row's other columns while an operator works, so that their names can't clash with its own.
+REST = "passagemill_other_columns"
+
+
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in one struct."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.lit(None).cast("struct<>")).alias(REST))
+
+
+def bring_back(changed: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``docs`` again, in their order: the used ones from ``changed``, the others as they were."""
+    return changed.select(*(F.col(c) if c in used else F.col(REST)[c].alias(c) for c in docs.columns))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, settle, ship, slices
+from .common import arrow_rows, bring_back, set_aside, settle, ship, slices
 from .components import connected_components
 
 #: Five-word shingles of a similarity of 0.8: two thirds of their copies differ in 44 of 256 bits or fewer, chance pairs in 128.
@@ -181,4 +181,6 @@ def keep_one(docs: DataFrame, **kind) -> DataFrame:
     found = near_duplicates(docs, **(kind or WIDE))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").withColumn("copy_no", F.row_number().over(first)).filter("copy_no = 1").select(docs.columns)
+    aside = set_aside(docs, "doc_id", "text")
+    mine = aside.join(kept, aside["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").withColumn("copy_no", F.row_number().over(first)).filter("copy_no = 1")
+    return bring_back(mine, docs, "doc_id", "text")

@@ -15,7 +15,7 @@ adaptive execution may split; no group of a host or line is ever gathered.
 
 Defined results. A null text has no word and no line; fewer than 20 words fail the base rules. A
 null host is a host of its own. Repeated rows are judged alike and each kept; they count as one document. Null ids are
-kept. Extra columns pass through :func:`line_frequencies` untouched. Empty tables give empty ones.
+kept. Extra columns, whatever their names, pass through :func:`without_boilerplate` untouched. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, words_of
+from .common import bring_back, set_aside, text_or_empty, words_of
 
 WINDOW = 8
 #: Shorter lines are no boilerplate; prose has them by chance.
@@ -138,7 +138,9 @@ def judge(docs: DataFrame, host: str = "source", keep_share: float = 0.3, min_do
     ).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("boilerplate_words") >= keep_share * F.col("n_words")))
 
 
-def without_boilerplate(judged: DataFrame) -> DataFrame:
-    """The kept documents, their text rid of boilerplate lines."""
+def without_boilerplate(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """The kept rows of ``docs`` with their columns, texts rid of boilerplate lines."""
+    judged = judge(set_aside(docs, "doc_id", "text", host), host, **limits)
     kept_lines = F.filter(F.split("text", "\n", -1), lambda line: ~F.array_contains(F.col("boilerplate"), F.xxhash64(normal_line(line))))
-    return judged.filter("kept").withColumn("text", F.when(F.col("boilerplate").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
+    changed = judged.filter("kept").withColumn("text", F.when(F.col("boilerplate").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
+    return bring_back(changed, docs, "doc_id", "text", host)

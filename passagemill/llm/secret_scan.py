@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import bring_back, set_aside, settle, text_or_empty
 
 #: Patterns of the kinds in their order. Group 2, if given a least length, is the value.
 KINDS = ("assign", "access", "hex", "user", "key", "endpoint")
@@ -130,7 +130,7 @@ def written(spans: Column) -> Column:
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each reported span, overlapping ones together, replaced by ``mark``."""
     spans = scan(docs, scope).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
-    keyed = docs.withColumn("key", row_key(text_or_empty()))
+    keyed = set_aside(docs, "doc_id", "text").withColumn("key", row_key(text_or_empty()))
     done = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -140,4 +140,4 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> DataF
         ).otherwise(F.struct(F.greatest(p["end"], acc["at"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    return keyed.join(spans, "key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)).select(docs.columns)
+    return bring_back(keyed.join(spans, "key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)), docs, "doc_id", "text")
