@@ -20,10 +20,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def _over_norm(a: Column, kind: str) -> Column:
+    """a / norm(a), the norm computed once a row and not once an element; null for a zero vector."""
+    scaled = F.transform(F.array(norm(a)), lambda size: F.when(size > 0, F.transform(a, lambda x: (x.cast("double") / size).cast(kind))))
+    return F.get(scaled, F.lit(0))
+
+
 def normalize(a: Column) -> Column:
     """Unit length, 32-bit floats; null for a zero vector."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: (x.cast("double") / size).cast("float")))
+    return _over_norm(a, "float")
 
 
 def is_unit(a: Column, dimension: int, tolerance: float = NORM_TOLERANCE) -> Column:

@@ -21,6 +21,7 @@ from ..functions.cleaning import ENTITY, Cleaned, decodable_entities, violation_
 from ..functions.html_text import html_to_text
 from ..functions.lengths import Counter, count_words
 from ..functions.questions import VALID, explode_questions, has_answer_text, read_sources
+from ..worker import ship
 from . import evidence
 
 _SPAN = schemas.schema("citation_id string, start int, end int, source_start int, source_end int")
@@ -58,6 +59,7 @@ class Dataset:
 
 def prepare(sources: DataFrame, sizes: Sizes, counter: Callable[[], Counter] = lambda: count_words, is_heading=headings.is_heading) -> DataFrame:
     """PREPARED rows of (source_row, document_id, data)."""
+    ship(sources.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitter = Splitter(sizes, counter(), is_heading)

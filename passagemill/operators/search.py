@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine, dot
 from ..errors import RetrievalInputError, raise_if_any
+from ..worker import ship
 
 #: From this dimension on, scores come from Arrow batches; below, from expressions.
 ARROW_DIMENSION = 256
@@ -64,6 +67,49 @@ def scoped_search(queries: DataFrame, candidates: DataFrame, chunks: DataFrame,
     return top_k(scored, k).select("query_id", "chunk_id", "score", "rank")
 
 
+def _blocks(df: DataFrame, key: str, name: str, block: int) -> DataFrame:
+    """Rows of a document in blocks of about ``block``; documents with more are dealt out by a hash."""
+    shares = df.groupBy("document_id").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
+    dealt = df.join(shares, "document_id").withColumn("share", F.pmod(F.xxhash64(key), F.col("shares")).cast("int"))
+    return dealt.groupBy("document_id", "share").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(name)).drop("share")
+
+
+def document_search(queries: DataFrame, chunks: DataFrame, k: int = 100, block: int = 512) -> DataFrame:
+    """query_id, chunk_id, score, rank where every passage of the question's document is a candidate and the question itself is none.
+
+    Questions (query_id, document_id, embedding) and passages (chunk_id, document_id, embedding) meet in blocks, so a join row is a matrix product and not a pair; each
+    block keeps the k best of a question, and the blocks' results are ranked together. Products are summed in one order for all pairs, so equal vectors tie exactly.
+    """
+    if k <= 0:
+        raise ValueError("top_k must be positive")
+    ship(queries.sparkSession)
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def matrix(rows: pa.StructArray) -> np.ndarray:
+        flat = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for asked, held in zip(batch.column("asked"), batch.column("held"), strict=True):
+                asked, held = asked.values, held.values
+                ids, query_ids = np.array(held.field("id").to_pylist()), np.array(asked.field("id").to_pylist())
+                place = ids.argsort(kind="stable").argsort(kind="stable")
+                scores = np.einsum("ij,kj->ik", matrix(asked), matrix(held))
+                scores[query_ids[:, None] == ids[None, :]] = -np.inf
+                for row, name in enumerate(query_ids):
+                    best = np.lexsort((place, -scores[row]))[:k]
+                    best = best[np.isfinite(scores[row, best])]
+                    out[0].extend([name] * len(best)), out[1].extend(ids[best]), out[2].extend(scores[row, best])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], to_arrow_type(types[0])), pa.array(out[1], to_arrow_type(types[1])), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    types = (queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType)
+    met = _blocks(queries, "query_id", "asked", block).join(_blocks(chunks, "chunk_id", "held", block), "document_id")
+    found = met.select("asked", "held").mapInArrow(compare, f"query_id {types[0].simpleString()}, chunk_id {kind}, score double")
+    return top_k(found, k)
+
+
 def score_all(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, similarity: str = "dot") -> DataFrame:
     """query_id, chunk_id, score of every candidate."""
     measure = {"dot": dot, "cosine": cosine}[similarity]

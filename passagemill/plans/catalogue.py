@@ -85,6 +85,14 @@ def scoped_cosine_topk(spark, sf_dir):
     return search.top_k(scored, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_VECTORS}, scored AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {_COSINE} AS score FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id <> c.vec_id) SELECT query_id, count(*) AS results, round(sum(score), 5) AS total, round(max(score), 6) AS best FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 100) GROUP BY query_id")
+def scoped_search_every_vector(spark, sf_dir):
+    """Every vector as a question: the load of a whole question set in one job."""
+    every = _vectors(spark, sf_dir)
+    found = search.document_search(every.withColumnRenamed("chunk_id", "query_id"), every, 100)
+    return found.groupBy("query_id").agg(F.count("*").alias("results"), F.round(F.sum("score"), 5).alias("total"), F.round(F.max("score"), 6).alias("best"))
+
+
 @query(f"WITH {_PAIRS} SELECT query_id, chunk_id, round(list_inner_product(q.e, c.e), 6) AS score FROM scored JOIN v q ON q.vec_id = query_id JOIN v c ON c.vec_id = chunk_id")
 def scoped_score_all(spark, sf_dir):
     return _pairs(spark, sf_dir).select("query_id", "chunk_id", F.round(vectors.dot(F.col("query_vector"), F.col("chunk_vector")), 6).alias("score"))
