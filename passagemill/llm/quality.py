@@ -6,7 +6,8 @@ at least ``min_documents`` and more than ``max_share`` of the host's documents i
 it is removed, and a document that keeps less than ``keep_share`` of its words is depleted and
 rejected. Copies must not make each other's lines frequent, or a group of copies would be
 rejected whole instead of losing all but one; so "distinct documents" means distinct sketches, a
-document's sketch being the smallest hash among its lines. Copies and near copies share it.
+document's sketch being the smallest hash among its lines. Copies and most near copies share it; and a line whose
+documents have fewer sketches than ``min_diversity`` of their number is a line of copies, not boilerplate.
 
 Everything stays in DataFrame expressions. Repetition is found inside the row: 64-bit hashes of
 8-word windows, and only where two are equal a sort tells which words they cover. Lines are counted with
@@ -89,7 +90,7 @@ def text_measures(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
 
 
 def document_lines(docs: DataFrame, host: str, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """One row for each line of ``min_line_words`` words or more, some letter or digit among them: doc_id, text_hash, host, line_hash, sketch, line_words."""
+    """One row for each line of ``min_line_words`` words or more, some letter or digit among them: doc_id, text_hash, host, sketch, line_no, line_hash, line_words."""
     lines = F.filter(
         F.transform(
             F.split(text_or_empty(), "\n", -1),
@@ -100,29 +101,33 @@ def document_lines(docs: DataFrame, host: str, min_line_words: int = MIN_LINE_WO
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("lines"))
         .withColumn("sketch", F.array_min(F.transform("lines", lambda x: x["h"])))
-        .select("doc_id", "text_hash", "host", "sketch", F.explode("lines").alias("line"))
-        .select("doc_id", "text_hash", "host", "sketch", F.col("line.h").alias("line_hash"), F.col("line.n").alias("line_words"))
+        .select("doc_id", "text_hash", "host", "sketch", F.posexplode("lines").alias("line_no", "line"))
+        .select("doc_id", "text_hash", "host", "sketch", "line_no", F.col("line.h").alias("line_hash"), F.col("line.n").alias("line_words"))
     )
 
 
-def line_frequencies(docs: DataFrame, host: str = "source", min_documents: int = 30, max_share: float = 0.002) -> DataFrame:
+def line_frequencies(docs: DataFrame, host: str = "source", min_documents: int = 30, max_share: float = 0.002, min_diversity: float = 0.5) -> DataFrame:
     """Boilerplate lines: host, line_hash, n_documents. ``host`` names the column that groups documents."""
     lines = document_lines(docs, host)
-    seen = lines.select("host", "line_hash", "sketch").distinct()
-    counts = seen.groupBy("host", "line_hash").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") >= min_documents)
+    # a line that a document repeats counts a little more often; that only makes it look less diverse
+    seen = lines.groupBy("host", "line_hash", "sketch").agg(F.count("*").alias("n"))
+    counts = (
+        seen.groupBy("host", "line_hash").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_rows"))
+        .filter((F.col("n_documents") >= min_documents) & (F.col("n_documents") >= min_diversity * F.col("n_rows")))
+    )
     hosts = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("host_documents"))
     return counts.join(hosts, "host").filter(F.col("n_documents") > max_share * F.col("host_documents")).select("host", "line_hash", "n_documents")
 
 
 def removed_words(docs: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, text_hash, removed (words in boilerplate lines, each line once), for documents that have one."""
+    """doc_id, text_hash, hashes of boilerplate lines and removed (the words in them), for documents that have one."""
     hit = document_lines(docs, host).join(frequent.select("host", "line_hash"), ["host", "line_hash"])
     # repeated rows meet in one group; as a set their lines count once, and a group is never more than one text's lines
-    once = hit.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("line_hash", "line_words")).alias("lines"))
-    return once.select("doc_id", "text_hash", F.transform("lines", lambda x: x["line_hash"]).alias("hashes"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["line_words"]).alias("removed"))
+    once = hit.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("line_no", "line_hash", "line_words")).alias("lines"))
+    return once.select("doc_id", "text_hash", F.array_distinct(F.transform("lines", lambda x: x["line_hash"])).alias("hashes"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["line_words"]).alias("removed"))
 
 
-def judge(docs: DataFrame, host: str = "source", keep_share: float = 0.3, min_documents: int = 30, max_share: float = 0.002) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", keep_share: float = 0.2, min_documents: int = 30, max_share: float = 0.002) -> DataFrame:
     """``docs`` with its measures, ``hashes`` and ``removed`` (boilerplate lines) and ``kept``."""
     removed = removed_words(docs, line_frequencies(docs, host, min_documents, max_share), host)
     measured = text_measures(docs).withColumn("text_hash", F.xxhash64("text"))
