@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -223,7 +224,7 @@ def score_documents(docs: DataFrame, model: LanguageModel, counts: DataFrame, tr
             n, common_n, log_sums, rare = [], [], [], []
             for text in texts:
                 own = text.encode().split()
-                found = np.fromiter((number.get(w, 0) for w in own), np.int64, len(own))
+                found = np.fromiter(map(number.get, own, repeat(0)), np.int64, len(own))
                 other = np.nonzero(found == 0)[0].tolist()
                 n.append(len(own) + 1)
                 common_n.append(len(own) - len(other))

@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from array import array
 from functools import lru_cache
 
 import pyarrow as pa
@@ -46,7 +47,7 @@ class ByteLevelIds:
     table of at most ``keep`` entries; texts with other white space are encoded whole.
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 250_000):
+    def __init__(self, path: str, pattern: str, keep: int = 200_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
@@ -86,19 +87,25 @@ def ids_of_vocabulary(path: str, pattern: str) -> ByteLevelIds:
 
 
 class _Units(dict):
+    """Ids of units. A unit is kept from its second time on, since most units that are new never come again."""
+
     def __init__(self, encoder, keep: int):
-        self.encoder, self.keep = encoder, keep
+        self.encoder, self.keep, self.once = encoder, keep, set()
 
     def __missing__(self, unit: str):
         if not unit or unit[-1].isspace():
             return ""  # joining it with bytes fails, and the text is encoded whole
-        text = unit if unit[0] == "\n" else " " + unit
-        ids = b"".join(i.to_bytes(4, "little") for i in self.encoder.encode_ordinary(text))
+        ids = array("I", self.encoder.encode_ordinary(unit if unit[0] == "\n" else " " + unit)).tobytes()
         if len(unit) <= 48:
-            self[unit] = ids
+            if unit in self.once:
+                self[unit] = ids
+            else:
+                self.once.add(unit)
         return ids
 
     def trim(self) -> None:
+        if len(self.once) > self.keep:
+            self.once.clear()
         if len(self) > self.keep:
             # the oldest entries hold the frequent units; those that came last go
             for unit in list(self)[self.keep * 3 // 4 :]:
