@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import arrow_rows, bring_back, set_aside, settle, ship, slices
 from .components import connected_components
 
-#: Five-word shingles of a similarity of 0.8: two thirds of their copies differ in 44 of 256 bits or fewer, chance pairs in 128.
+#: Five-word shingles of a similarity of about 0.8: pairs above 0.85 are nearly all linked, pairs of 0.8 to 0.85 nine times in ten, below 0.6 hardly ever.
 WIDE = {"shingle": 5, "words": 4, "radius": 46, "lead": 22, "parts": 1, "tile": 4096}
 NARROW = {"shingle": 3, "words": 1, "radius": 3, "lead": 3, "parts": 4, "tile": 1024}
 
