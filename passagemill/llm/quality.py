@@ -4,14 +4,15 @@ Method. Lines are normalised (lower case, digits to ``0``, other characters than
 digits out) and hashed. For each host, the distinct documents of a line are counted. A line in
 at least ``min_documents`` and more than ``max_share`` of the host's documents is boilerplate:
 it is removed, and a document that keeps less than ``keep_share`` of its words is depleted and
-rejected. Copies must not make each other's lines frequent, or a group of copies would be
-rejected whole instead of losing all but one; so "distinct documents" means distinct sketches, a
-document's sketch being the smallest hash among its lines. Copies and most near copies share it; and a line whose
-documents have fewer sketches than ``min_diversity`` of their number is a line of copies, not boilerplate.
+rejected. A line counts once for each distinct text that holds it, however often the text repeats it; texts of
+the same lines are one. Copies must not make each other's lines frequent, or a group of near copies would be
+rejected whole instead of losing all but one. So lines that are frequent among distinct texts are counted again, over those texts
+that stand apart: at least ``own_share`` of their words lie neither in such lines nor in variants of them, lines that begin or
+end with the same words. Near copies don't stand apart; pages with a menu, header and footer do, and so do depleted ones that have words of their own.
 
 Everything stays in DataFrame expressions. Repetition is found inside the row: 64-bit hashes of
 8-word windows, and only where two are equal a sort tells which words they cover. Lines are counted with
-partial aggregation, keyed by host and line, and frequent lines come back by an equi-join that
+partial aggregation, keyed by host and line, from line hashes written once, and frequent lines come back by an equi-join that
 adaptive execution may split; no group of a host or line is ever gathered.
 
 Defined results. A null text has no word and no line; fewer than 20 words fail the base rules. A
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bring_back, set_aside, text_or_empty, words_of
+from .common import bring_back, set_aside, settle, text_or_empty, words_of
 
 WINDOW = 8
 #: Shorter lines are no boilerplate; prose has them by chance.
@@ -89,39 +90,59 @@ def text_measures(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     )
 
 
-def document_lines(docs: DataFrame, host: str, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """One row for each line of ``min_line_words`` words or more, some letter or digit among them: doc_id, text_hash, host, sketch, line_no, line_hash, line_words."""
-    lines = F.filter(
-        F.transform(
-            F.split(text_or_empty(), "\n", -1),
-            lambda line: bind(normal_line(line), lambda own: F.struct(F.xxhash64(own).alias("h"), F.size(words_of(line)).alias("n"), (own != "").alias("any"))),
-        ),
-        lambda x: x["any"] & (x["n"] >= min_line_words),
-    )
+def line_lists(docs: DataFrame, host: str, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """One row for each row of ``docs`` with a line: doc_id, text_hash, host, text_id, lines (of ``min_line_words`` words or more, some letter or digit among them), line_words.
+
+    ``text_id`` is the same for texts of the same lines. A line has its hash ``h``, words ``n``, and hashes of its first and last words, ``a`` and ``b``.
+    """
+
+    def described(line: Column) -> Column:
+        def of_words(words: Column) -> Column:
+            ends = F.when(F.size(words) >= 6, 3).otherwise(2)
+            long_enough = F.size(words) >= 4
+            return bind(normal_line(line), lambda own: F.struct(
+                F.xxhash64(own).alias("h"), F.size(words).alias("n"), (own != "").alias("any"),
+                F.when(long_enough, F.xxhash64(F.lit(1), F.slice(words, F.lit(1), ends))).alias("a"), F.when(long_enough, F.xxhash64(F.lit(2), F.slice(words, -ends, ends))).alias("b")))
+
+        return bind(words_of(line), of_words)
+
+    lines = F.filter(F.transform(F.split(text_or_empty(), "\n", -1), described), lambda x: x["any"] & (x["n"] >= min_line_words))
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("lines"))
-        .withColumn("sketch", F.array_min(F.transform("lines", lambda x: x["h"])))
-        .select("doc_id", "text_hash", "host", "sketch", F.posexplode("lines").alias("line_no", "line"))
-        .select("doc_id", "text_hash", "host", "sketch", "line_no", F.col("line.h").alias("line_hash"), F.col("line.n").alias("line_words"))
+        .withColumn("text_id", F.xxhash64(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))))
+        .withColumn("line_words", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+        .filter(F.size("lines") > 0)
     )
 
 
-def line_frequencies(docs: DataFrame, host: str = "source", min_documents: int = 30, max_share: float = 0.002, min_diversity: float = 0.5) -> DataFrame:
-    """Boilerplate lines: host, line_hash, n_documents. ``host`` names the column that groups documents."""
-    lines = document_lines(docs, host)
-    # a line that a document repeats counts a little more often; that only makes it look less diverse
-    seen = lines.groupBy("host", "line_hash", "sketch").agg(F.count("*").alias("n"))
-    counts = (
-        seen.groupBy("host", "line_hash").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_rows"))
-        .filter((F.col("n_documents") >= min_documents) & (F.col("n_documents") >= min_diversity * F.col("n_rows")))
+def line_frequencies(lists: DataFrame, docs: DataFrame, host: str = "source", min_documents: int = 30, max_share: float = 0.002, own_share: float = 0.05) -> DataFrame:
+    """Boilerplate lines: host, line_hash, n_documents. ``host`` names the column that groups ``docs``."""
+    seen = lists.select("host", "text_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("line_hash")).distinct()
+    hosts = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count_distinct(F.xxhash64("text")).alias("host_documents"))
+
+    def frequent(counts: DataFrame) -> DataFrame:
+        return counts.filter(F.col("n_documents") >= min_documents).join(hosts, "host").filter(F.col("n_documents") > max_share * F.col("host_documents")).drop("host_documents")
+
+    often = settle(frequent(seen.groupBy("host", "line_hash").agg(F.count("*").alias("n_documents"))), "often")
+    lines = lists.select("host", "text_id", "text_hash", "line_words", F.posexplode("lines").alias("line_no", "line"))
+    lines = lines.select("host", "text_id", "text_hash", "line_words", "line_no", F.col("line.h").alias("line_hash"), F.col("line.n").alias("n"), F.col("line.a").alias("a"), F.col("line.b").alias("b"))
+    found = lines.join(often.select("host", "line_hash"), ["host", "line_hash"])
+    # lines that begin or end like a frequent one are variants of it, as near copies have them
+    ends = found.select("host", F.explode(F.array("a", "b")).alias("end")).filter("end is not null").distinct()
+    like = lines.select("host", "text_hash", "line_words", "line_no", "n", F.explode(F.array("a", "b")).alias("end")).join(ends, ["host", "end"]).drop("end")
+    covered = (
+        found.select("host", "text_hash", "line_words", "line_no", "n").unionByName(like).distinct()
+        .groupBy("host", "text_hash", "line_words").agg(F.sum("n").alias("covered"))
     )
-    hosts = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("host_documents"))
-    return counts.join(hosts, "host").filter(F.col("n_documents") > max_share * F.col("host_documents")).select("host", "line_hash", "n_documents")
+    apart = covered.filter(F.col("line_words") - F.col("covered") >= own_share * F.col("line_words")).select("host", "text_hash")
+    shared = found.join(apart, ["host", "text_hash"], "left_semi").select("host", "line_hash", "text_id").distinct()
+    return frequent(shared.groupBy("host", "line_hash").agg(F.count("*").alias("n_documents")))
 
 
-def removed_words(docs: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:
+def removed_words(lists: DataFrame, frequent: DataFrame) -> DataFrame:
     """doc_id, text_hash, hashes of boilerplate lines and removed (the words in them), for documents that have one."""
-    hit = document_lines(docs, host).join(frequent.select("host", "line_hash"), ["host", "line_hash"])
+    lines = lists.select("doc_id", "text_hash", "host", F.posexplode("lines").alias("line_no", "line"))
+    hit = lines.select("doc_id", "text_hash", "host", "line_no", F.col("line.h").alias("line_hash"), F.col("line.n").alias("line_words")).join(frequent.select("host", "line_hash"), ["host", "line_hash"])
     # repeated rows meet in one group; as a set their lines count once, and a group is never more than one text's lines
     once = hit.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("line_no", "line_hash", "line_words")).alias("lines"))
     return once.select("doc_id", "text_hash", F.array_distinct(F.transform("lines", lambda x: x["line_hash"])).alias("hashes"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["line_words"]).alias("removed"))
@@ -129,7 +150,8 @@ def removed_words(docs: DataFrame, frequent: DataFrame, host: str = "source") ->
 
 def judge(docs: DataFrame, host: str = "source", keep_share: float = 0.2, min_documents: int = 30, max_share: float = 0.002) -> DataFrame:
     """``docs`` with its measures, ``hashes`` and ``removed`` (boilerplate lines) and ``kept``."""
-    removed = removed_words(docs, line_frequencies(docs, host, min_documents, max_share), host)
+    lists = settle(line_lists(docs, host), "lines")
+    removed = removed_words(lists, line_frequencies(lists, docs, host, min_documents, max_share))
     measured = text_measures(docs).withColumn("text_hash", F.xxhash64("text"))
     joined = measured.alias("m").join(
         removed.alias("r"),

@@ -119,6 +119,38 @@ def test_frequent_lines_go_and_copies_stay(docs_of):
     assert quality.judge(docs_of([])).count() == 0
 
 
+def own_words(seed, n=60):
+    words = np.random.default_rng(seed).permutation(600)[:n]
+    return " ".join(f"{chr(97 + w % 26)}{chr(97 + w // 26)}" for w in words)
+
+
+def test_lines_of_distinct_texts_are_boilerplate_however_they_stand(docs_of):
+    menu, header, footer = "home news sport weather contact", "the daily paper of the whole town", "all rights are reserved by the publisher"
+    repeated = [f"{menu}\n{header}\n{own_words(k)}\n{menu}\n{own_words(k + 5000)}\n{menu}\n{footer}" for k in range(60)]
+    depleted = [f"{own_words(k + 9000, 6)}\n" + "\n".join([menu, header, footer] * 5) for k in range(200)]
+    one_line = [footer] * 100
+    found = {r["doc_id"]: r for r in quality.judge(docs_of(repeated + depleted + one_line), min_documents=20, max_share=0.1).collect()}
+    assert all(found[k]["kept"] and len(found[k]["boilerplate"]) == 3 for k in range(60))
+    assert not any(found[k]["kept"] for k in range(60, 360))
+
+
+def test_hundreds_of_depleted_documents_alone_are_rejected(docs_of):
+    notices = [f"{name} rights are reserved by the publisher" for name in ("all", "some", "most", "few")]
+    texts = [own_words(k, 8) + "\n" + "\n".join(notices * 2) for k in range(200)]
+    assert not any(r["kept"] for r in quality.judge(docs_of(texts), min_documents=20, max_share=0.1).collect())
+
+
+def test_near_copies_are_no_boilerplate_of_each_other(docs_of):
+    page = [own_words(k, 40).split() for k in range(8)]
+    texts = []
+    for k in range(120):
+        lines = [list(line) for line in page]
+        lines[k % 8][k % 40] = f"changed{chr(97 + k % 26)}{chr(97 + k // 26)}"
+        texts.append("\n".join(map(" ".join, lines)))
+    judged = quality.judge(docs_of(texts), min_documents=20, max_share=0.1).collect()
+    assert all(r["kept"] and not r["boilerplate"] for r in judged)
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
