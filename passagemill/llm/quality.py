@@ -5,9 +5,9 @@ digits out) and hashed. For each host, the distinct documents of a line are coun
 at least ``min_documents`` and more than ``max_share`` of the host's documents is boilerplate:
 it is removed, and a document that keeps less than ``keep_share`` of its words is depleted and
 rejected. A line counts once for each distinct text that holds it, however often the text repeats it; texts of
-the same lines are one. Copies must not make each other's lines frequent, or a group of near copies would be
+the same lines are one. All lines with a letter or digit count; very short ones need a larger share. Copies must not make each other's lines frequent, or a group of near copies would be
 rejected whole instead of losing all but one. So lines that are frequent among distinct texts are counted again, over those texts
-that stand apart: at least ``own_share`` of their words lie neither in such lines nor in variants of them, lines that begin or
+that stand apart: at least ``own_share`` of their bytes lie neither in such lines nor in variants of them, lines that begin or
 end with the same words. Near copies don't stand apart; pages with a menu, header and footer do, and so do depleted ones that have words of their own.
 
 Everything stays in DataFrame expressions. Repetition is found inside the row: 64-bit hashes of
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import bring_back, set_aside, settle, text_or_empty, words_of
 
 WINDOW = 8
-#: Shorter lines are no boilerplate; prose has them by chance.
-MIN_LINE_WORDS = 4
+#: Normal lines of fewer bytes may be chance (prose has one-word sentences): they need ``SHORT_SHARE`` of a host's documents. Bytes, so that scripts without blanks count too.
+SHORT_BYTES, SHORT_SHARE = 20, 0.05
 #: Characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
 
@@ -90,10 +90,10 @@ def text_measures(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
     )
 
 
-def line_lists(docs: DataFrame, host: str, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """One row for each row of ``docs`` with a line: doc_id, text_hash, host, text_id, lines (of ``min_line_words`` words or more, some letter or digit among them), line_words.
+def line_lists(docs: DataFrame, host: str) -> DataFrame:
+    """One row for each row of ``docs`` with a line: doc_id, text_hash, host, text_id, lines (all with a letter or digit), size (their bytes).
 
-    ``text_id`` is the same for texts of the same lines. A line has its hash ``h``, words ``n``, and hashes of its first and last words, ``a`` and ``b``.
+    ``text_id`` is the same for texts of the same lines. A line has its hash ``h``, words ``n``, bytes ``size`` and hashes of its first and last words, ``a`` and ``b``.
     """
 
     def described(line: Column) -> Column:
@@ -101,42 +101,44 @@ def line_lists(docs: DataFrame, host: str, min_line_words: int = MIN_LINE_WORDS)
             ends = F.when(F.size(words) >= 6, 3).otherwise(2)
             long_enough = F.size(words) >= 4
             return bind(normal_line(line), lambda own: F.struct(
-                F.xxhash64(own).alias("h"), F.size(words).alias("n"), (own != "").alias("any"),
+                F.xxhash64(own).alias("h"), F.size(words).alias("n"), F.octet_length(own).alias("size"),
                 F.when(long_enough, F.xxhash64(F.lit(1), F.slice(words, F.lit(1), ends))).alias("a"), F.when(long_enough, F.xxhash64(F.lit(2), F.slice(words, -ends, ends))).alias("b")))
 
         return bind(words_of(line), of_words)
 
-    lines = F.filter(F.transform(F.split(text_or_empty(), "\n", -1), described), lambda x: x["any"] & (x["n"] >= min_line_words))
+    lines = F.filter(F.transform(F.split(text_or_empty(), "\n", -1), described), lambda x: x["size"] > 0)
     return (
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("lines"))
         .withColumn("text_id", F.xxhash64(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))))
-        .withColumn("line_words", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+        .withColumn("size", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["size"]))
         .filter(F.size("lines") > 0)
     )
 
 
-def line_frequencies(lists: DataFrame, docs: DataFrame, host: str = "source", min_documents: int = 30, max_share: float = 0.002, own_share: float = 0.05) -> DataFrame:
+def line_frequencies(lists: DataFrame, docs: DataFrame, host: str = "source", min_documents: int = 30, max_share: float = 0.002, own_share: float = 0.05, short_share: float = SHORT_SHARE) -> DataFrame:
     """Boilerplate lines: host, line_hash, n_documents. ``host`` names the column that groups ``docs``."""
-    seen = lists.select("host", "text_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("line_hash")).distinct()
+    seen = lists.select("host", "text_id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h"].alias("line_hash"), (x["size"] < SHORT_BYTES).alias("short"))))).alias("line"))
+    seen = seen.select("host", "text_id", "line.*").distinct()
     hosts = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count_distinct(F.xxhash64("text")).alias("host_documents"))
 
     def frequent(counts: DataFrame) -> DataFrame:
-        return counts.filter(F.col("n_documents") >= min_documents).join(hosts, "host").filter(F.col("n_documents") > max_share * F.col("host_documents")).drop("host_documents")
+        share = F.when(F.col("short"), max(max_share, short_share)).otherwise(max_share)
+        return counts.filter(F.col("n_documents") >= min_documents).join(hosts, "host").filter(F.col("n_documents") > share * F.col("host_documents")).drop("host_documents")
 
-    often = settle(frequent(seen.groupBy("host", "line_hash").agg(F.count("*").alias("n_documents"))), "often")
-    lines = lists.select("host", "text_id", "text_hash", "line_words", F.posexplode("lines").alias("line_no", "line"))
-    lines = lines.select("host", "text_id", "text_hash", "line_words", "line_no", F.col("line.h").alias("line_hash"), F.col("line.n").alias("n"), F.col("line.a").alias("a"), F.col("line.b").alias("b"))
-    found = lines.join(often.select("host", "line_hash"), ["host", "line_hash"])
+    often = settle(frequent(seen.groupBy("host", "line_hash", "short").agg(F.count("*").alias("n_documents"))), "often")
+    lines = lists.select("host", "text_id", "text_hash", F.col("size").alias("text_size"), F.posexplode("lines").alias("line_no", "line"))
+    lines = lines.select("host", "text_id", "text_hash", "text_size", "line_no", F.col("line.h").alias("line_hash"), F.col("line.size").alias("size"), F.col("line.a").alias("a"), F.col("line.b").alias("b"))
+    found = lines.join(often.select("host", "line_hash", "short"), ["host", "line_hash"])
     # lines that begin or end like a frequent one are variants of it, as near copies have them
     ends = found.select("host", F.explode(F.array("a", "b")).alias("end")).filter("end is not null").distinct()
-    like = lines.select("host", "text_hash", "line_words", "line_no", "n", F.explode(F.array("a", "b")).alias("end")).join(ends, ["host", "end"]).drop("end")
+    like = lines.select("host", "text_hash", "text_size", "line_no", "size", F.explode(F.array("a", "b")).alias("end")).join(ends, ["host", "end"]).drop("end")
     covered = (
-        found.select("host", "text_hash", "line_words", "line_no", "n").unionByName(like).distinct()
-        .groupBy("host", "text_hash", "line_words").agg(F.sum("n").alias("covered"))
+        found.select("host", "text_hash", "text_size", "line_no", "size").unionByName(like).distinct()
+        .groupBy("host", "text_hash", "text_size").agg(F.sum("size").alias("covered"))
     )
-    apart = covered.filter(F.col("line_words") - F.col("covered") >= own_share * F.col("line_words")).select("host", "text_hash")
-    shared = found.join(apart, ["host", "text_hash"], "left_semi").select("host", "line_hash", "text_id").distinct()
-    return frequent(shared.groupBy("host", "line_hash").agg(F.count("*").alias("n_documents")))
+    apart = covered.filter(F.col("text_size") - F.col("covered") >= own_share * F.col("text_size")).select("host", "text_hash")
+    shared = found.join(apart, ["host", "text_hash"], "left_semi").select("host", "line_hash", "short", "text_id").distinct()
+    return frequent(shared.groupBy("host", "line_hash", "short").agg(F.count("*").alias("n_documents")))
 
 
 def removed_words(lists: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -140,6 +140,15 @@ def test_hundreds_of_depleted_documents_alone_are_rejected(docs_of):
     assert not any(r["kept"] for r in quality.judge(docs_of(texts), min_documents=20, max_share=0.1).collect())
 
 
+def test_short_lines_and_scripts_without_blanks_are_boilerplate_too(docs_of):
+    shared = ["Read more", "Copyright 2024", "版权所有，未经许可不得转载"]
+    chance = [own_words(k, 60) + "\nOf." * (k < 30) for k in range(800)]
+    docs = docs_of([own_words(k) + "\n" + "\n".join(shared) for k in range(60)] + chance, source=["a"] * 60 + ["b"] * 800)
+    found = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert all(r["kept"] for r in found.values())
+    assert all(len(found[k]["boilerplate"]) == 3 for k in range(60)) and not any(found[k]["boilerplate"] for k in range(60, 860))
+
+
 def test_near_copies_are_no_boilerplate_of_each_other(docs_of):
     page = [own_words(k, 40).split() for k in range(8)]
     texts = []
