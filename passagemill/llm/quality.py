@@ -91,7 +91,7 @@ def text_measures(docs: DataFrame, min_words: int = 20, max_repeat_percent: int
 
 
 def line_lists(docs: DataFrame, host: str) -> DataFrame:
-    """One row for each row of ``docs`` with a line: doc_id, text_hash, host, text_id, lines (all with a letter or digit), size (their bytes).
+    """One row for each row of ``docs``: doc_id, text_hash, host, text_id, lines (all with a letter or digit), size (their bytes).
 
     ``text_id`` is the same for texts of the same lines. A line has its hash ``h``, words ``n``, bytes ``size`` and hashes of its first and last words, ``a`` and ``b``.
     """
@@ -111,7 +111,6 @@ def line_lists(docs: DataFrame, host: str) -> DataFrame:
         docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("lines"))
         .withColumn("text_id", F.xxhash64(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))))
         .withColumn("size", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["size"]))
-        .filter(F.size("lines") > 0)
     )
 
 
