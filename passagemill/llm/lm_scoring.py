@@ -5,9 +5,8 @@ probability; overlapping windows score each token once. A word-frequency score s
 
 Learning. Word counts come from every training text: partitions count, the counts are summed by word. The
 attention weights start from a bounded sample (``start_documents`` in expectation, drawn by a hash) on the driver, which also groups
-ids into classes. Then the training texts of a fixed share (``1 / every``; more where the table is small, so that about
-``least_documents`` take part) train it in parallel: each partition goes on from the same weights, and the
-weights, and counts of ids after classes, are averaged and summed in two levels. The share, and so what is learned from, grows with the input.
+ids into classes. Then all training texts train it in parallel: each partition goes on from the same weights, and the
+weights, and counts of ids after classes, are averaged and summed in two levels.
 
 Word score. The sum over a text's words and one end of log10((c + 1) / (N + V + 1)). The at most ``common`` words whose
 count reaches a threshold, which a histogram of counts gives, go to workers as a table of bounded size; all other words of a text
@@ -43,6 +42,7 @@ class LanguageModel:
 
     def __init__(self, tokenizer_path: str, pattern: str, texts: list[str], vocabulary: int = 50_257, passes: int = 2):
         """Group ids and start the weights from ``texts``; one pass more over them for each of ``passes``."""
+        self.learned_tokens = 0  # of all texts that :func:`train` learned from
         self.tokenizer, self.end, self.size = (tokenizer_path, pattern), vocabulary, vocabulary + 1
         sequences = [self.ids(t) for t in texts] or [np.array([self.end])]
         flat = np.concatenate(sequences)
@@ -77,7 +77,7 @@ class LanguageModel:
         return total / math.log(10)
 
 
-def train(docs: DataFrame, tokenizer_path: str, pattern: str, every: int = 16, least_documents: int = 4000, start_documents: int = 400, rate: float = 0.004) -> LanguageModel:
+def train(docs: DataFrame, tokenizer_path: str, pattern: str, start_documents: int = 400, rate: float = 0.004) -> LanguageModel:
     """A model trained on ``docs``."""
     spark = docs.sparkSession
     ship(spark)
@@ -105,13 +105,13 @@ def train(docs: DataFrame, tokenizer_path: str, pattern: str, every: int = 16, l
         if tokens:
             yield _learned(TaskContext.get().partitionId(), tokens, np.frombuffer(model.packed(), np.float32), table)
 
-    share = max(1 / every, least_documents / n)
-    learned = known.filter(F.col("draw") >= 1 - share).select("text").mapInArrow(go_on, LEARNED)
+    learned = known.select("text").mapInArrow(go_on, LEARNED)
     # two levels, so that neither a task nor the driver gets as many weights as there are partitions
     learned = learned.groupBy(F.pmod("part", F.lit(8)).alias("group")).applyInArrow(lambda t: pa.Table.from_batches([_merged(t)]), LEARNED)
     rows = learned.toArrow()
     if rows.num_rows:
         final = _merged(rows)
+        start.learned_tokens = final.column("tokens")[0].as_py()
         start.model.unpack(final.column("weights")[0].as_py())
         at, many = (np.frombuffer(final.column(c)[0].as_py(), np.int64) for c in ("places", "counts"))
         table = np.zeros(start.classes.inside.size, np.int64)

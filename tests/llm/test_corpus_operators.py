@@ -249,6 +249,12 @@ def test_scoring_learns(docs_of):
     assert lm_scoring.score_all(docs_of([]), __import__("pyspark.sql.functions", fromlist=["lit"]).lit(True), queries.vocabulary("byte_bpe_50k.json"), queries.byte_level_pattern()).count() == 0
 
 
+def test_every_training_text_is_learned_from(docs_of):
+    texts = [f"word {k} of many" for k in range(9000)]
+    model = lm_scoring.train(docs_of(texts), queries.vocabulary("byte_bpe_50k.json"), queries.byte_level_pattern())
+    assert model.learned_tokens == sum(len(model.ids(t)) for t in texts)
+
+
 # -- rules and shards -------------------------------------------------------------------------------
 
 
