@@ -22,11 +22,11 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, bring_back, set_aside, settle, ship, slices
+from .common import REST, arrow_rows, bring_back, set_aside, settle, ship, slices
 from .components import connected_components
 
 #: Five-word shingles of a similarity of about 0.8: pairs above 0.85 are nearly all linked, pairs of 0.8 to 0.85 nine times in ten, below 0.6 hardly ever.
@@ -177,10 +177,15 @@ def fingerprint_digits(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, **kind) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates: that of the least doc_id, and of rows that repeat it one."""
-    found = near_duplicates(docs, **(kind or WIDE))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    aside = set_aside(docs, "doc_id", "text")
-    mine = aside.join(kept, aside["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").withColumn("copy_no", F.row_number().over(first)).filter("copy_no = 1")
-    return bring_back(mine, docs, "doc_id", "text")
+    """One row of ``docs`` for each group of near duplicates: that of the least doc_id (null last) and, of its texts in the group, the least hash; of equal rows one.
+
+    Rows are told apart by id and text, so different texts without an id, or with the same one, are each judged on their own.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("kept_id"), F.xxhash64("text").alias("kept_hash"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), **(kind or WIDE))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id.kept_id", "doc_id.kept_hash").distinct()
+    aside = set_aside(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    mine = aside.join(kept, aside["doc_id"].eqNullSafe(kept["kept_id"]) & (aside["text_hash"] == kept["kept_hash"]), "left_semi")
+    # partial aggregation, so that a row repeated very often is no task's burden
+    one = mine.groupBy("doc_id", "text_hash").agg(F.first(F.struct("text", REST)).alias("row")).select("doc_id", "row.*")
+    return bring_back(one, docs, "doc_id", "text")

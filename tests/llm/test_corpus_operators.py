@@ -85,6 +85,16 @@ def test_wide_fingerprints_find_similar_texts_and_no_others(docs_of):
     assert kept == list(range(0, 30, 2))
 
 
+def test_different_texts_without_an_id_or_with_the_same_one_stay(docs_of):
+    random = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 3000, 100)) for _ in range(9)]
+    ids = [None] * 4 + [7, 7, 8, 9, 9]
+    # repeats: one without an id, one with another id, and one row twice
+    docs = docs_of([*texts, texts[0], texts[6], texts[8]], doc_id=[*ids, None, 10, 9])
+    kept = near_dup.keep_one(docs).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(i), t) for i, t in zip(ids, texts, strict=True))
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     found = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
