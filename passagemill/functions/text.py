@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bind, running_sum
+
 #: Patterns of headings, boundaries and identifiers.
 UPPER = "A-ZÁÉÍÓÚÂÊÔÃÕÀÇ"
 IDENTIFIER = (
@@ -100,22 +102,19 @@ def token_overflow(tokens: Column, most: int) -> Column:
 
 def lines(text: Column) -> Column:
     """Non-empty lines as array<struct<text, start, end, kind>>: stripped, offsets in code points."""
-    pieces = F.split(text, r"[\r\n]", -1)
-    placed = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x) + 1).alias("at"),
-            F.when(strip(x) == "", acc["out"]).otherwise(
-                F.concat(acc["out"], F.array(F.struct(strip(x).alias("text"), (acc["at"] + F.length(x) - F.length(F.regexp_replace(x, _U + r"^\s+", ""))).alias("start"))))
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.transform(
-        placed,
-        lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), F.when(x["text"].startswith("|"), "table").otherwise("prose").alias("kind")),
-    )
+
+    def described(piece: Column, at: Column) -> Column:
+        start = (at + F.length(piece) - F.length(F.regexp_replace(piece, _U + r"^\s+", ""))).cast("int")
+        return bind(strip(piece), lambda bare: F.struct(
+            bare.alias("text"), start.alias("start"), (start + F.length(bare)).alias("end"),
+            F.when(bare.startswith("|"), "table").otherwise("prose").alias("kind"),
+        ))
+
+    def placed(pieces: Column) -> Column:
+        ends = running_sum(F.transform(pieces, lambda x: F.length(x) + 1))
+        return bind(ends, lambda e: F.transform(pieces, lambda x, k: described(x, F.when(k == 0, 0).otherwise(F.get(e, k - 1)))))
+
+    return F.filter(bind(F.split(text, r"[\r\n]", -1), placed), lambda x: x["text"] != "")
 
 
 def run_label(model_id: Column, run: Column) -> Column:
