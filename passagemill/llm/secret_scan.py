@@ -10,8 +10,10 @@ parts are pre-aggregated to their first start and last end, a weak part meets th
 surroundings touch, and the bounds decide exactly. A cell has one row a role however many parts it holds, so no pairs
 of parts arise and a text full of keys costs no more than its length.
 
-Spans come from the engine's regular expressions alone: a text split at the matches gives the lengths between them.
-Offsets are code points. The parts of all texts are written once and read by both sides of the join.
+Weak parts are looked for in the text that strong parts leave, so none overlaps a strong one.
+
+Spans come from the engine's regular expressions alone: a text split at the matches gives the lengths between them, and
+running sums of those the places, at a cost near the text's length however many parts it holds. Offsets are code points. The parts of all texts are written once and read by both sides of the join.
 
 Defined results. A null or empty text has no part. Repeated rows are found alike; rows are told apart by id and text
 hash, and a null id is an id of its own. Columns besides ``doc_id`` and ``text`` are ignored by the scan and kept by :func:`redact`.
@@ -22,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind, running_max, running_sum
 from .common import bring_back, set_aside, settle, text_or_empty
 
 #: Patterns of the kinds in their order. Group 2, if given a least length, is the value.
@@ -38,6 +41,8 @@ STRONG = 3
 IDENTIFIERS, SECRETS = ("access", "user"), ("assign", "hex", "key")
 SCOPE = 300
 PART = "array<struct<kind: int, start: int, end: int>>"
+#: Stands for a character of a strong part; no weak pattern takes it.
+MASK = "\n"
 
 
 def _accepts(kind: str, match: Column, value: Column) -> Column:
@@ -50,26 +55,34 @@ def _accepts(kind: str, match: Column, value: Column) -> Column:
     return F.lit(True)
 
 
-def parts_of_kind(text: Column, kind: str) -> Column:
-    """Accepted matches as structs of kind number, start and end, in order."""
+def _gaps_and_matches(text: Column, kind: str) -> Column:
+    """array<struct<gap, match, value>>: each match of a kind with what lies between the match before and it."""
     pattern = PATTERNS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind in ("assign", "user") else matches
-    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("match"), values.alias("value"))
-    start = lambda acc, x: acc["at"] + F.length(x["gap"])
-    end = lambda acc, x: start(acc, x) + F.length(x["match"])
-    found = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast(PART).alias("parts")),
-        lambda acc, x: F.struct(
-            end(acc, x).alias("at"),
-            F.when(
-                _accepts(kind, x["match"], x["value"]),
-                F.concat(acc["parts"], F.array(F.struct(F.lit(KINDS.index(kind)).alias("kind"), start(acc, x).alias("start"), end(acc, x).alias("end")))),
-            ).otherwise(acc["parts"]).alias("parts"),
-        ),
-    )
-    return F.when(text.rlike(pattern), found["parts"]).otherwise(F.array().cast(PART))
+    return F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("gap"), matches.alias("match"), values.alias("value"))
+
+
+def parts_of_kind(text: Column, kind: str) -> Column:
+    """Accepted matches as structs of kind number, start and end, in order."""
+
+    def placed(found: Column) -> Column:
+        ends = running_sum(F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["match"])))
+        part = lambda x, end: F.struct(F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(x["match"])).cast("int").alias("start"), end.cast("int").alias("end"))
+        parts = bind(ends, lambda e: F.transform(found, lambda x, k: F.when(_accepts(kind, x["match"], x["value"]), part(x, F.get(e, k)))))
+        return F.filter(parts, lambda p: p.isNotNull())
+
+    return F.when(text.rlike(PATTERNS[kind]), bind(_gaps_and_matches(text, kind), placed)).otherwise(F.array().cast(PART))
+
+
+def masked(text: Column, kind: str) -> Column:
+    """The text with the accepted matches of a kind written as so many ``MASK`` characters; offsets stay."""
+
+    def written(found: Column) -> Column:
+        pieces = F.transform(found, lambda x: F.concat(x["gap"], F.when(_accepts(kind, x["match"], x["value"]), F.repeat(F.lit(MASK), F.length(x["match"]))).otherwise(x["match"])))
+        return F.concat(F.array_join(pieces, ""), F.element_at(F.split(text, PATTERNS[kind], -1), -1))
+
+    return F.when(text.rlike(PATTERNS[kind]), bind(_gaps_and_matches(text, kind), written)).otherwise(text)
 
 
 def row_key(text: Column) -> Column:
@@ -78,15 +91,15 @@ def row_key(text: Column) -> Column:
 
 
 def document_parts(docs: DataFrame) -> DataFrame:
-    """doc_id, key, and the parts of strong and of weak kinds; weak ones that touch a strong one are that one."""
+    """doc_id, key, and the parts of strong and of weak kinds; weak ones are looked for in what strong ones leave."""
     text = text_or_empty()
-    found = docs.select(
-        "doc_id", row_key(text).alias("key"),
-        F.concat(*(parts_of_kind(text, k) for k in KINDS[:STRONG])).alias("strong"),
-        F.concat(*(parts_of_kind(text, k) for k in KINDS[STRONG:])).alias("weak"),
-    )
-    apart = lambda w: ~F.exists("strong", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    return found.withColumn("weak", F.filter("weak", apart))
+    found = docs.select("doc_id", row_key(text).alias("key"), F.concat(*(parts_of_kind(text, k) for k in KINDS[:STRONG])).alias("strong"), text.alias("text"))
+
+    def left(own: Column, kinds: tuple) -> Column:
+        return bind(masked(own, kinds[0]), lambda t: left(t, kinds[1:])) if kinds else F.concat(*(parts_of_kind(own, k) for k in KINDS[STRONG:]))
+
+    weak = F.when(F.size("strong") > 0, left(F.col("text"), KINDS[:STRONG])).otherwise(left(F.col("text"), ()))
+    return found.select("doc_id", "key", "strong", weak.alias("weak"))
 
 
 def linked_weak_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -127,17 +140,32 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", name(p), p["start"].cast("string"), p["end"].cast("string"))), ",")
 
 
+def cut_out(text: Column, spans: Column, mark: str, step: int = 4096) -> Column:
+    """The text with each span, overlapping ones together, replaced by ``mark``; spans are sorted by start.
+
+    Pieces are taken from chunks of ``step`` characters, since a substring counts characters from the text's begin.
+    """
+
+    def piece(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / step).cast("int")
+        own = F.slice(chunks, first + 1, F.floor((end - 1) / step).cast("int") - first + 1)
+        part = lambda c, k: F.substring(c, F.greatest(start - (first + k) * step, F.lit(0)).cast("int") + 1, (end - F.greatest(start, (first + k) * step)).cast("int"))
+        return F.when(start >= end, "").otherwise(F.array_join(F.transform(own, part), ""))
+
+    def of_chunks(chunks: Column) -> Column:
+        def of_ends(ends: Column) -> Column:
+            before = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(ends, k - 1))
+            kept = F.transform(spans, lambda p, k: F.when((k > 0) & (p["start"] < before(k)), "").otherwise(F.concat(piece(chunks, before(k), p["start"].cast("long")), F.lit(mark))))
+            return F.concat(F.array_join(kept, ""), piece(chunks, F.element_at(ends, -1), F.length(text).cast("long")))
+
+        return bind(running_max(F.transform(spans, lambda p: p["end"])), of_ends)
+
+    return bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), of_chunks)
+
+
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each reported span, overlapping ones together, replaced by ``mark``."""
     spans = scan(docs, scope).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
     keyed = set_aside(docs, "doc_id", "text").withColumn("key", row_key(text_or_empty()))
-    done = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, p: F.when(
-            p["start"] >= acc["at"],
-            F.struct(p["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, p["start"] - acc["at"]), F.lit(mark)).alias("out")),
-        ).otherwise(F.struct(F.greatest(p["end"], acc["at"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return bring_back(keyed.join(spans, "key", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)), docs, "doc_id", "text")
+    changed = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut_out(F.col("text"), F.col("spans"), mark))
+    return bring_back(keyed.join(spans, "key", "left").withColumn("text", changed), docs, "doc_id", "text")

@@ -199,6 +199,39 @@ def test_redaction_takes_spans_and_nothing_else(docs_of):
     assert out == [(0, 'x [secret]" y', "k"), (1, None, "k"), (2, "plain", "k"), (3, "plain", "k")]
 
 
+def test_very_many_parts_cost_near_their_length(docs_of):
+    import time
+
+    text = "token=abcdefghijkl user: bob é " * 40_000
+    began = time.time()
+    row = secret_scan.scan(docs_of([text])).select("strong", "spans").first()
+    assert time.time() - began < 60
+    assert [(s["start"], s["kind"], s["end"]) for s in row["strong"]] == base_spans(text)
+    assert len(row["spans"]) == 80_000
+    out = secret_scan.redact(docs_of([text, "x"])).orderBy("doc_id").collect()
+    assert out[0]["text"] == "[secret] [secret] é " * 40_000
+
+
+def merged(text, spans, mark="[secret]"):
+    out, at = [], 0
+    for p in spans:
+        if p["start"] >= at:
+            out += [text[at : p["start"]], mark]
+        at = max(at, p["end"])
+    return "".join(out) + text[at:]
+
+
+def test_weak_parts_lie_beside_strong_ones_and_cuts_are_the_spans(docs_of):
+    texts = [*SECRETS, "user: alice https://db.example.com/?token=abcdefghijklmnop&x", "user: token=abcdefghijklmnop bob", f"a{'é' * 5000} secret=abcdefghijklmnop {'😀' * 9000} user: bob {'b' * 4096}"]
+    docs = docs_of(texts)
+    found = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    for r in found.values():
+        strong = [(s["start"], s["end"]) for s in r["strong"]]
+        assert all(s["kind"] < 3 or all(s["end"] <= a or b <= s["start"] for a, b in strong) for s in r["spans"])
+    for r in secret_scan.redact(docs).collect():
+        assert r["text"] == (None if texts[r["doc_id"]] is None else merged(texts[r["doc_id"]], found[r["doc_id"]]["spans"]))
+
+
 @pytest.mark.parametrize("operator", [secret_scan.scan, lambda d: piece_codec.encode_documents(d, queries.vocabulary("piece_bpe_32k.model"))])
 def test_empty_tables(docs_of, operator):
     assert operator(docs_of([])).count() == 0
