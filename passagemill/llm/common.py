@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    env.setdefault("OPENBLAS_NUM_THREADS", "1")  # a task has one core; more threads wait in loops
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,11 +86,16 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def slices(batches: Iterator, rows: int = 256) -> Iterator:
-    """Arrow batches in small slices, which bounds what Python holds as objects at once."""
+def slices(batches: Iterator, rows: int = 256, most: int = 1 << 22) -> Iterator:
+    """Arrow batches in slices of at most ``rows`` rows and, but for a single longer text, ``most`` bytes of text: that bounds what Python holds as objects at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0), np.int64))
+        start = 0
+        while start < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))
+            end = max(start + 1, min(full, start + rows))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 @contextmanager

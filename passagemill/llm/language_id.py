@@ -1,23 +1,27 @@
 """Language identification of words, spans and texts.
 
-Method. A word is a run of letters. The scripts of its letters, read off Unicode ranges, narrow the candidates to the
-languages that were learned with that script. Each candidate scores the word by its letters' bigrams and trigrams, word
+Method. A word is a run of letters of one script, which is read off Unicode ranges. The script narrows the candidates to the
+languages that were learned with it. Each candidate scores the word by its letters' bigrams and trigrams, word
 ends included. Viterbi over the words of a text, staying or paying ``switch`` to change, labels each word; words of one label
 in a row are a span. The text's language is the one with the most letters, its score that share of them.
 
-Everything runs on arrays: code points of many texts at once, one table look-up per n-gram, sums per word, and one Viterbi
-step for all texts that have a word at that place.
+Everything runs on arrays: code points of many texts at once, one table look-up per n-gram, sums per word. Viterbi runs on blocks of words side
+by side; a block that began without its past is repeated from its true start until both agree, which a word that all paths share brings about
+(:meth:`LanguageModel.label`). Slices are bounded by bytes, and long texts are scored piece by piece.
 
-Learning counts n-grams in labelled texts. It takes all of them up to about ``per_language`` texts of each language,
-and of more a sample of that size in expectation, by a hash of id and text: the bound is a parameter and the sample doesn't depend on
-partitioning. Texts of over ``longest`` characters aren't sampled. The model has ``2**BITS`` rows of one float a language.
+Learning counts n-grams in labelled texts on the executors. It takes all of them up to about ``per_language`` texts of each language,
+and of more a sample of that size in expectation, by a hash of id and text: the bound is a parameter, and the sample doesn't depend on
+partitioning. Texts of any length are learned whole. The driver gets one sum an n-gram slot and language; the model has ``2**BITS`` rows of one float a language.
 
 Defined results. Null texts and texts without a letter are ``und`` with score 0. Null languages are not learned from; with
-nothing to learn from all is ``und``. Repeated rows get repeated results. Extra columns are ignored by :func:`identify`.
+nothing to learn from all is ``und``. Repeated rows get repeated results. Extra columns are ignored by :func:`identify` and kept, whatever
+their names, by :func:`with_main_language`.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, slices
 
 BITS = 17
 PER_LANGUAGE = 1500
-LONGEST = 200_000
 SWITCH = 6.0
 UNDETERMINED = "und"
 #: First code points of ranges and the script that holds from there (Unicode blocks).
@@ -58,8 +61,23 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return letter, script
 
 
+#: Characters before the capital A are no letters.
+_NO_LETTER = re.compile(r"[\x00-\x40]")
+
+
+def pieces(text: str, step: int = 1 << 18) -> Iterator[tuple[int, str]]:
+    """(offset, piece) of a text, cut near every ``step`` characters where no word is."""
+    start = 0
+    while len(text) - start > step:
+        found = _NO_LETTER.search(text, start + step)
+        end = found.end() if found else len(text)
+        yield start, text[start:end]
+        start = end
+    yield start, text[start:]
+
+
 class Words:
-    """The words of some texts, as arrays: start and end (code points of the text), length, script, text number."""
+    """The words of some texts, as arrays: start and end (code points of the text), script, text number."""
 
     def __init__(self, texts: list[str]):
         letter, script = tables()
@@ -69,13 +87,13 @@ class Words:
         points = np.frombuffer(("\n" + "\n".join(kept) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum([1] + [len(t) + 1 for t in kept])[:-1] if kept else np.zeros(0, np.int64)
         self.letters = letter[points]
-        inside = self.letters > 0
-        edge = np.diff(inside.astype(np.int8))
-        self.begin, self.stop = np.nonzero(edge == 1)[0] + 1, np.nonzero(edge == -1)[0] + 1
+        runs = np.where(self.letters > 0, script[points] + np.int16(1), 0)  # 0 outside words
+        edge = np.nonzero(np.diff(runs))[0] + 1
+        self.begin, self.stop = edge[runs[edge] > 0], edge[runs[edge - 1] > 0]
         self.text = np.searchsorted(first, self.begin, side="right") - 1
         self.start, self.end = self.begin - first[self.text], self.stop - first[self.text]
-        self.script = script[points[self.begin]] if len(self.begin) else np.zeros(0, np.uint8)
-        self.place = np.nonzero(inside)[0]
+        self.script = script[points[self.begin]]
+        self.place = np.nonzero(self.letters)[0]
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers of the trigram around and the bigram before each letter, and where words begin among them."""
@@ -87,24 +105,36 @@ class Words:
         return three >> np.uint32(32 - BITS), two >> np.uint32(32 - BITS), np.searchsorted(self.place, self.begin)
 
 
+#: Slots of a language's counts: n-grams, then scripts.
+SLOTS = (1 << BITS) + len(NAMES)
+
+
+def counts_of(text: str) -> np.ndarray:
+    """How often each slot occurs in a text."""
+    out = np.zeros(SLOTS, np.int64)
+    for _, piece in pieces(text):
+        words = Words([piece])
+        three, two, _ = words.grams()
+        out[: 1 << BITS] += np.bincount(three, minlength=1 << BITS) + np.bincount(two, minlength=1 << BITS)
+        out[1 << BITS :] += np.bincount(words.script, minlength=len(NAMES))
+    return out
+
+
 class LanguageModel:
-    def __init__(self, languages: list[str], texts: list[list[str]]):
-        """Learn from the texts of each language."""
+    def __init__(self, languages: list[str], counts: np.ndarray):
+        """``counts``: for each language those of its slots."""
         self.languages = languages
-        counts = np.zeros((len(languages), 1 << BITS), np.float64)
-        scripts = np.zeros((len(languages), len(NAMES)), np.float64)
-        for k, own in enumerate(texts):
-            for start in range(0, len(own), 256):
-                words = Words(own[start : start + 256])
-                three, two, _ = words.grams()
-                counts[k] += np.bincount(three, minlength=1 << BITS) + np.bincount(two, minlength=1 << BITS)
-                scripts[k] += np.bincount(words.script, minlength=len(NAMES))
-        smoothed = counts + 0.5
+        smoothed = counts[:, : 1 << BITS] + 0.5
         self.table = np.ascontiguousarray(np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).T.astype(np.float32))
+        scripts = counts[:, 1 << BITS :]
         usual = scripts >= 0.005 * np.maximum(1, scripts.sum(axis=1, keepdims=True))
         usual[:, ~usual.any(axis=0)] = True  # of no language: the script says nothing
         self.out = np.where(usual, 0, -1e4).astype(np.float32).T.copy()
 
+    @classmethod
+    def of_texts(cls, languages: list[str], texts: list[list[str]]) -> LanguageModel:
+        return cls(languages, np.stack([sum(map(counts_of, own), np.zeros(SLOTS, np.int64)) for own in texts]))
+
     def word_scores(self, words: Words) -> np.ndarray:
         if not len(words.begin):
             return np.zeros((0, len(self.languages)), np.float32)
@@ -113,47 +143,93 @@ class LanguageModel:
         letters += self.table[two]
         return 0.5 * np.add.reduceat(letters, at, axis=0) + self.out[words.script]
 
-    def label(self, scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-        """The language number of each word; counts: the words of each text, in order."""
-        if not len(scores):
-            return np.zeros(0, np.int64)
-        first = np.cumsum(counts) - counts
-        order = np.argsort(-counts, kind="stable")
-        ends, first = counts[order], first[order]
-        active = np.searchsorted(-ends, -np.arange(ends[0]), side="left")  # texts that have a word at each step
-        stays = np.zeros(scores.shape, bool)
-        leaders = np.zeros(len(scores), np.int16)
-        best = np.zeros((len(ends), scores.shape[1]), np.float32)
-        for t in range(int(ends[0])):
-            n = active[t]
-            now, rows = best[:n], first[:n] + t
+    def label(self, scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH, block: int = 256) -> np.ndarray:
+        """The language number of each word on the best path; counts: the words of each text, in order.
+
+        Forward, each text's words are cut into blocks that all run at once from an even start. The values of a text's later blocks are then made
+        true one block after the other: from the true end of the one before, until a word where they equal the values found, as they do once the leader is ahead by
+        ``switch``; from there on they stay equal. Backward, a word whose states all come from one is where paths
+        meet, so the parts between such words are walked at once.
+        """
+        n, many = scores.shape
+        labels = np.zeros(n, np.int16)
+        if not n:
+            return labels
+        stays, leaders, after = np.zeros((n, many), bool), np.zeros(n, np.int16), np.zeros((n, many), np.float32)
+
+        def step(now: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            """Values after the words in ``rows``, from those before; only differences matter, so the best is 0."""
             lead = now.argmax(axis=1)
-            bar = now[np.arange(n), lead, None] - np.float32(switch)
+            bar = now[np.arange(len(now)), lead, None] - np.float32(switch)
             stays[rows] = now >= bar
             leaders[rows] = lead
-            np.maximum(now, bar, out=now)
-            now += scores[rows]
-            now -= now.max(axis=1, keepdims=True)  # only differences matter; keeps floats exact in long texts
-        labels = np.zeros(len(scores), np.int64)
-        state = best.argmax(axis=1)
-        for t in range(int(ends[0]) - 1, -1, -1):
-            n = active[t]
-            rows = first[:n] + t
-            labels[rows] = state[:n]
-            keep = stays[rows, state[:n]]
-            state[:n] = np.where(keep, state[:n], leaders[rows])
+            new = np.maximum(now, bar) + scores[rows]
+            return new - new.max(axis=1, keepdims=True)
+
+        ends = np.cumsum(counts)
+        first = ends - counts
+        blocks = -(-counts // block)
+        owner = np.repeat(np.arange(len(counts)), blocks)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = first[owner] + number * block
+        length = np.minimum(ends[owner] - begin, block)
+        order = np.argsort(-length, kind="stable")
+        begin, length, number, owner = begin[order], length[order], number[order], owner[order]
+        active = np.searchsorted(-length, -np.arange(length[0]), side="left")  # blocks that have a word at each step
+        now = np.zeros((len(begin), many), np.float32)
+        for t in range(int(length[0])):
+            rows = begin[: active[t]] + t
+            now[: active[t]] = after[rows] = step(now[: active[t]], rows)
+        for k in range(1, int(number.max()) + 1):
+            own = np.nonzero(number == k)[0]
+            rows, stop = begin[own], begin[own] + length[own]
+            now = after[rows - 1]
+            while len(rows):
+                now = step(now, rows)
+                go_on = (now != after[rows]).any(axis=1) & (rows + 1 < stop)
+                after[rows] = now
+                rows, stop, now = rows[go_on] + 1, stop[go_on], now[go_on]
+
+        # backward
+        known = np.zeros(n, bool)
+        last = ends[counts > 0] - 1
+        labels[last] = after[last].argmax(axis=1)
+        starts = np.zeros(n + 1, bool)
+        starts[first[counts > 0]] = True
+        meet = np.nonzero(~starts[:n] & (stays.sum(axis=1) == 1))[0]  # only the leader stays: all states come from it
+        labels[meet - 1] = leaders[meet]
+        known[last] = known[meet - 1] = True
+        rows = np.nonzero(known)[0]
+        while len(rows):
+            state = labels[rows]
+            before = np.where(stays[rows, state], state, leaders[rows])
+            go_on = ~starts[rows]
+            go_on[go_on] = ~known[rows[go_on] - 1]
+            rows = rows[go_on] - 1
+            labels[rows] = before[go_on]
         return labels
 
 
-def identified(model: LanguageModel, texts: list[str | None], switch: float = SWITCH, step: int = 256):
+def identified(model: LanguageModel, texts: list[str | None], switch: float = SWITCH, step: int = 1 << 18):
     """Language and score of each text, and its spans as (text, start, end, language) arrays."""
-    words = [Words([t or "" for t in texts[k : k + step]]) for k in range(0, len(texts), step)]
-    scores = np.concatenate([model.word_scores(w) for w in words]) if words else np.zeros((0, len(model.languages)), np.float32)
-    owner = np.concatenate([w.text + k * step for k, w in enumerate(words)]) if words else np.zeros(0, np.int64)
-    start, end = (np.concatenate([getattr(w, n) for w in words]) if words else np.zeros(0, np.int64) for n in ("start", "end"))
+    parts = [(k, offset, piece) for k, t in enumerate(texts) for offset, piece in pieces(t or "", step)]
+    scores, owner, start, end = ([np.zeros((0, len(model.languages)), np.float32)], *([np.zeros(0, np.int32)] for _ in range(3)))
+    at = 0
+    while at < len(parts):
+        stop, size = at, 0
+        while stop < len(parts) and (stop == at or size + len(parts[stop][2]) <= step):
+            size += len(parts[stop][2])
+            stop += 1
+        words = Words([p for _, _, p in parts[at:stop]])
+        scores.append(model.word_scores(words))
+        numbers, offsets = (np.array([p[c] for p in parts[at:stop]], np.int32)[words.text] for c in (0, 1))
+        for array, new in ((owner, numbers), (start, words.start + offsets), (end, words.end + offsets)):
+            array.append(new.astype(np.int32))
+        at = stop
+    scores, owner, start, end = map(np.concatenate, (scores, owner, start, end))
     labels = model.label(scores, np.bincount(owner, minlength=len(texts)), switch)
-    letters = np.zeros((len(texts), len(model.languages)))
-    np.add.at(letters, (owner, labels), end - start)
+    many = len(model.languages)
+    letters = np.bincount(owner.astype(np.int64) * many + labels, end - start, len(texts) * many).reshape(-1, many)
     total = letters.sum(axis=1)
     best = letters.argmax(axis=1) if len(texts) else np.zeros(0, np.int64)
     names = [model.languages[k] if n else UNDETERMINED for k, n in zip(best, total, strict=True)]
@@ -165,19 +241,41 @@ def identified(model: LanguageModel, texts: list[str | None], switch: float = SW
     return names, share, (owner[begins], start[begins], end[lasts] if len(begins) else end[:0], labels[begins])
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> LanguageModel | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """A model of the languages in ``lang``, from ``text``; None if there is nothing to learn from."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest)).select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not counts:
+    ship(docs.sparkSession)
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    seen = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not seen:
+        return None
+    share = F.coalesce(*(F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))) for name, n in seen.items()))
+    drawn = usable.filter((F.col("draw").cast("double") / 2.0**64 + 0.5) <= share).select("lang", "text")
+
+    def count(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in slices(batches):
+            for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                sums[name] = sums.get(name, 0) + counts_of(text)
+        for name, own in sums.items():
+            slots = np.nonzero(own)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(slots), pa.string()), pa.array(slots, pa.int32()), pa.array(own[slots])], names=["lang", "slot", "n"])
+
+    summed = drawn.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # slots x languages at most
+    names = np.array(summed.column("lang").to_pylist(), object)
+    languages = sorted(set(names))
+    if not languages:
         return None
-    share = F.coalesce(*(F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))) for name, n in counts.items()))
-    drawn = usable.filter((F.col("draw").cast("double") / 2.0**64 + 0.5) <= share).select("lang", "text").toPandas()
-    languages = sorted(set(drawn["lang"]))
-    return LanguageModel(languages, [drawn["text"][drawn["lang"] == name].tolist() for name in languages]) if languages else None
+    counts = np.zeros((len(languages), SLOTS), np.int64)
+    number = {name: k for k, name in enumerate(languages)}
+    counts[[number[x] for x in names], summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
+    return LanguageModel(languages, counts)
+
+
+#: Rows and bytes of text that are labelled together: enough for long arrays, and a bound of memory.
+TOGETHER, TOGETHER_BYTES = 4096, 1 << 23
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, with_spans: bool = True, switch: float = SWITCH, together: int = 4096) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | None, with_spans: bool = True, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score and, if asked for, spans (start, end, lang) of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
@@ -193,22 +291,35 @@ def identify(docs: DataFrame, model: LanguageModel | None, with_spans: bool = Tr
 
     def run(batches):
         own = shared.value
-        for batch in batches:
-            for begin in range(0, batch.num_rows, together):
-                part = batch.slice(begin, together)
-                names, share, (owner, start, end, label) = identified(own, part.column("text").to_pylist(), switch)
-                columns = [part.column("doc_id"), pa.array(names, pa.string()), pa.array(share, pa.float64())]
-                if with_spans:
-                    offsets = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                    items = pa.StructArray.from_arrays(
-                        [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([own.languages[k] for k in label], pa.string())], ["start", "end", "lang"]
-                    )
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for part in slices(batches, TOGETHER, TOGETHER_BYTES):
+            names, share, (owner, start, end, label) = identified(own, part.column("text").to_pylist(), switch)
+            columns = [part.column("doc_id"), pa.array(names, pa.string()), pa.array(share, pa.float64())]
+            if with_spans:
+                offsets = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                items = pa.StructArray.from_arrays(
+                    [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([own.languages[k] for k in label], pa.string())], ["start", "end", "lang"]
+                )
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def with_main_language(docs: DataFrame, model: LanguageModel | None, least_share: float = 0.5, switch: float = SWITCH) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least ``least_share`` of its letters; each row is judged by its own text, without a shuffle."""
+    if model is None:
+        return docs.filter(F.lit(False))
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for part in slices(batches, TOGETHER, TOGETHER_BYTES):
+            names, share, _ = identified(shared.value, part.column("text").to_pylist(), switch)
+            yield part.filter(pa.array([n != UNDETERMINED and s >= least_share for n, s in zip(names, share, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learnable(docs: DataFrame, folds: int = 4, held: int = 2) -> Column:
     """Whether a row belongs to the folds that are learned from."""
     from .common import id_bucket

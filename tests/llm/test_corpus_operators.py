@@ -153,7 +153,7 @@ def test_languages_of_texts_and_spans(docs_of):
 
 def test_viterbi_is_the_best_path():
     random = np.random.default_rng(0)
-    model = language_id.LanguageModel(["a", "b", "c"], [["aaa"], ["bbb"], ["ccc"]])
+    model = language_id.LanguageModel.of_texts(["a", "b", "c"], [["aaa"], ["bbb"], ["ccc"]])
     counts = np.array([7, 0, 1, 5])
     scores = random.standard_normal((13, 3)).astype(np.float32) * 3
     found = model.label(scores, counts, switch=1.5)
@@ -166,6 +166,46 @@ def test_viterbi_is_the_best_path():
         at += n
 
 
+def test_blocks_of_words_give_the_path_of_one_pass():
+    random = np.random.default_rng(4)
+    model = language_id.LanguageModel.of_texts(["a", "b", "c"], [["aaa"], ["bbb"], ["ccc"]])
+    counts = np.array([0, 900, 3, 0, 257, 1, 64])
+    for spread in (0.3, 3, 30):
+        scores = random.standard_normal((counts.sum(), 3)).astype(np.float32) * np.float32(spread)
+        whole = model.label(scores, counts, switch=4.0, block=10_000)
+        assert (model.label(scores, counts, switch=4.0, block=16) == whole).all()
+        own, best, back = scores[:900].astype(np.float64), np.zeros(3), []
+        for row in own:
+            lead = best.argmax()
+            back.append(np.where(best >= best[lead] - 4.0, np.arange(3), lead))
+            best = np.maximum(best, best[lead] - 4.0) + row
+        path = [int(best.argmax())]
+        for step in back[:0:-1]:
+            path.append(int(step[path[-1]]))
+        assert whole[:900].tolist() == path[::-1]
+
+
+def test_scripts_part_words_and_long_texts_come_in_pieces():
+    words = language_id.Words(["abcже fgh", "", "漢字abc"])
+    assert list(zip(words.text.tolist(), words.start.tolist(), words.end.tolist(), strict=True)) == [(0, 0, 3), (0, 3, 5), (0, 6, 9), (2, 0, 2), (2, 2, 5)]
+    text = "der hund und the dog " * 3000
+    parts = list(language_id.pieces(text, 1000))
+    assert "".join(p for _, p in parts) == text and all(text[o : o + len(p)] == p for o, p in parts) and len(parts) > 50
+    model = language_id.LanguageModel.of_texts(["de", "en"], [[DE], [EN]])
+    one, many = language_id.identified(model, [text, None, "x"]), language_id.identified(model, [text, None, "x"], step=1000)
+    assert one[0] == many[0] and all((a == b).all() for a, b in zip([one[1], *one[2]], [many[1], *many[2]], strict=True))
+
+
+def test_rows_with_a_main_language_are_judged_by_their_own_text(docs_of):
+    texts, langs = zip(*language_texts(), strict=True)
+    model = language_id.fit(docs_of(texts, lang=langs))
+    asked = docs_of([EN, None, "123", DE, EN, EN + DE, ""], doc_id=[7, 7, 7, None, None, 8, None], lang_pred=["x"] * 7, score=["y"] * 7)
+    kept = language_id.with_main_language(asked, model, least_share=0.9)
+    assert kept.columns == asked.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("7", EN), ("None", DE), ("None", EN)])
+    assert language_id.with_main_language(asked, None).count() == 0 and language_id.with_main_language(docs_of([]), model).count() == 0
+
+
 def test_nothing_to_learn_from(docs_of):
     docs = docs_of(["text", None], lang=[None, "en"])
     assert language_id.fit(docs) is None
