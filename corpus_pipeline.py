@@ -25,30 +25,45 @@ def _as_before(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, boilerplate lines of the others too."""
+    """Rejected documents go, boilerplate lines of the others too.
+
+    A null text has no word and goes. A null source is a host of its own. Equal rows are judged alike and stay equal; they count as one document. An
+    empty table stays one.
+    """
     return _as_before(docs, quality.without_boilerplate(docs))
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or without a main one, go. Rows that share an id stay together if one of them stays."""
-    model = language_id.fit(docs.filter(language_id.learnable(docs)))
-    found = language_id.identify(docs, model, with_spans=False)
-    kept = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """Rows without a language, or without a main one, go; each is judged by its own text.
+
+    A null or empty text has no language and goes. Rows that share an id, or have none, and equal rows are judged alike but apart. Without a
+    labelled text nothing is known, and all go; an empty table stays one.
+    """
+    return language_id.with_main_language(docs, language_id.fit(docs.filter(language_id.learnable(docs))), LEAST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, a similarity of about 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles of a similarity of 0.8 or more.
+
+    That of the least id, a null id last; of equal ids, the text of the least hash; of equal rows one. Null and empty texts are copies of each
+    other. Texts of fewer than five words have one shingle. An empty table stays one.
+    """
     return near_dup.keep_one(docs, **near_dup.WIDE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced by a mark."""
+    """Found secrets are replaced by a mark.
+
+    No row goes. Null and empty texts stay as they are; equal rows and rows that share an id are each rid of their own text's secrets.
+    """
     return _as_before(docs, secret_scan.redact(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences.
+
+    A null or empty text is one piece of its end id. Equal rows are packed once each; a null id is kept. An empty table gives no piece.
+    """
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), byte_level_pattern())
 
 
