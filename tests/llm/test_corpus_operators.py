@@ -85,6 +85,56 @@ def test_wide_fingerprints_find_similar_texts_and_no_others(docs_of):
     assert kept == list(range(0, 30, 2))
 
 
+def shingle_set(text, n=5):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+    return frozenset(tuple(words[k : k + n]) for k in range(len(words) - n + 1)) or frozenset([tuple(words)] if words else [])
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def changed_texts(bases=14, copies=12, seed=8):
+    """Texts and copies that change more and more, so that similarities lie from 0.6 to 1."""
+    random = np.random.default_rng(seed)
+    texts = []
+    for k in range(bases):
+        n = int(random.choice([7, 20, 60, 150, 400, 2000]))
+        words = [f"w{x}" for x in random.integers(0, 5000, n)]
+        texts.append(" ".join(words))
+        for c in range(copies):
+            own = list(words)
+            for at in random.integers(0, n, max(1, int(n * random.uniform(0, 0.05)))):
+                own[at] = f"c{k}x{random.integers(0, 9)}"
+            texts.append(" ".join(own if c % 3 else own + own[: n // 8]))
+    return texts
+
+
+@pytest.mark.parametrize("block", [4 << 20, 1500])
+def test_one_text_stays_of_each_group_that_exact_similarity_links(docs_of, block):
+    texts = [*ODD, *changed_texts(8 if block < 9999 else 14)]
+    sets = [shingle_set(t) for t in texts]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a) if similar(sets[a], sets[b])]
+    between = sum(0.6 < len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.8 for a in range(len(texts)) for b in range(a) if sets[a] & sets[b])
+    assert between > 50
+    want = sorted(set(classes(len(texts), linked)))
+    assert sorted(r["doc_id"] for r in near_dup.keep_one(docs_of(texts), block=block).collect()) == want
+
+
+def test_candidates_hold_nearly_all_similar_texts():
+    texts = changed_texts(110, 14, seed=1)
+    prints = [near_dup.fingerprint(np.unique(near_dup.hashes_of(t, 5)), 4) for t in texts]
+    sets = [shingle_set(t) for t in texts]
+    found = total = 0
+    for a in range(len(texts)):
+        for b in range(a - a % 15, a):
+            if similar(sets[a], sets[b]) and len(sets[a]) > 20:
+                apart = np.bitwise_count(prints[a] ^ prints[b])
+                total += 1
+                found += apart[0] <= near_dup.WIDE["lead"] and apart.sum() <= near_dup.WIDE["radius"]
+    assert total > 1000 and found / total > 0.998
+
+
 def test_different_texts_without_an_id_or_with_the_same_one_stay(docs_of):
     random = np.random.default_rng(11)
     texts = [" ".join(f"w{x}" for x in random.integers(0, 3000, 100)) for _ in range(9)]
