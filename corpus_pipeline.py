@@ -48,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     That of the least id, a null id last; of equal ids, the text of the least hash; of equal rows one. Null and empty texts are copies of each
     other. Texts of fewer than five words have one shingle. An empty table stays one.
     """
-    return near_dup.keep_one(docs, **near_dup.WIDE)
+    return near_dup.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
