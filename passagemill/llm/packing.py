@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -40,9 +41,9 @@ END_ID = 1
 
 
 class ByteLevelIds:
-    """Little-endian unsigned 32-bit ids of a text under a byte-level BPE vocabulary.
+    """Little-endian unsigned 32-bit ids of a text under a byte-level BPE vocabulary, those of the tokenizers library with its defaults.
 
-    The merge ranks come from the tokenizers file itself. A text is cut before single blanks
+    The merge ranks and added tokens come from the tokenizers file itself; the tiktoken library applies the ranks. A text is cut before single blanks
     and single line ends, which no pre-token crosses, and the ids of such units are kept in a
     table of at most ``keep`` entries; texts with other white space are encoded whole.
     """
@@ -51,9 +52,16 @@ class ByteLevelIds:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model = content["model"]
         ranks = {bytes(map(_byte_of_letter().__getitem__, piece)): i for piece, i in model["vocab"].items() if set(piece) <= _byte_of_letter().keys()}
-        ranks.pop(b"<|endoftext|>", None)
+        # added tokens are taken out of a text before anything else, as the library does by default
+        self.added = {t["content"]: t["id"] for t in content["added_tokens"]}
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in content["added_tokens"]):
+            raise ValueError("added tokens that depend on what is beside them aren't handled")
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        for token in self.added:
+            ranks.pop(token.encode(), None)
         first = len(ranks) - len(model["merges"])
         for k, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
@@ -65,6 +73,8 @@ class ByteLevelIds:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[part].to_bytes(4, "little") if k % 2 else self(part) for k, part in enumerate(self.cut.split(text)))
         head, *rest = text.replace("\n", " \n").split(" ")
         if rest and head[-1:].isspace():
             return self.whole(text)
