@@ -172,6 +172,22 @@ def test_exact_top_k(spark):
     assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("scale", [1e5, 1e7, 3e12, 1e300])
+def test_large_components_take_part(spark, scale):
+    random = np.random.default_rng(6)
+    rows = [(k, (random.standard_normal(4) * (scale if k % 3 else 1)).tolist()) for k in range(250)] + [(300, [1.7e308] * 4)]
+    usable = {a: [math.floor(1024 * x) for x in b] for a, b in rows if all(math.isfinite(1024 * x) for x in b)}
+    assert len(usable) == 250
+    want = []
+    for q in (0, 100, 200):
+        score = {c: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(usable[q], v, strict=True)))) for c, v in usable.items() if c != q}
+        best = sorted((-s, c) for c, s in score.items())[:10]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.exact_top_k(table, pivots=4, rings=3, block=32)
+    assert sorted(map(tuple, found.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+
+
 def test_top_k_of_little(spark):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     two = spark.createDataFrame([(0, [0.5, 0.5]), (1, [0.1, 0.1])], "vec_id long, embedding array<float>")
