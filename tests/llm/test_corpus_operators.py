@@ -413,6 +413,56 @@ def test_shards_compact_and_keep_every_row(spark, tmp_path):
         store.commit(before, [], after["schema"])
 
 
+def test_old_versions_and_uncommitted_files_outlive_a_compaction(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    for k in range(4):
+        store.append(spark.range(k * 10, k * 10 + 10))
+    before = store.version()
+    spark.range(100, 110).write.parquet(f"{store.root}/shards/uncommitted")
+    store.compact(target=1_000_000)
+    store.vacuum()
+    assert sorted(r["id"] for r in store.read(before).collect()) == list(range(40))
+    new = store._shards_in("shards/uncommitted", 0)
+    latest = store.manifest()
+    store.commit(latest, latest["shards"] + new, latest["schema"])
+    assert store.read().count() == 50
+    store.vacuum(age=0)
+    assert store.versions() == [store.version()] and store.read().count() == 50
+    assert {p.parent.name for p in (tmp_path / "store" / "shards").glob("*/*.parquet")} == {s["path"].split("/")[1] for s in store.manifest()["shards"]}
+
+
+def test_writers_that_lose_a_race_try_again(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/store"
+    sharding.ShardStore(spark, root).append(spark.range(5).selectExpr("id", "cast(null as string) as text"))
+    with ThreadPoolExecutor(6) as pool:
+        jobs = [pool.submit(lambda k=k: sharding.ShardStore(spark, root).append(spark.range(k * 100, k * 100 + 5).selectExpr("id", "'x' as text"))) for k in range(1, 6)]
+        jobs.append(pool.submit(lambda: sharding.ShardStore(spark, root).compact(target=1_000_000)))
+        for job in jobs:
+            job.result()
+    store = sharding.ShardStore(spark, root)
+    store.compact(target=1_000_000)
+    assert sorted(r["id"] for r in store.read().collect()) == sorted(k * 100 + j for k in range(6) for j in range(5))
+    assert store.versions() == list(range(1, store.version() + 1))
+
+
+def test_a_merge_of_shards_that_are_gone_is_dropped(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store")
+    for k in range(4):
+        store.append(spark.range(k * 10, k * 10 + 10))
+    other, first = sharding.ShardStore(spark, store.root), store._commit_on_latest
+
+    def late(change, schema):
+        store._commit_on_latest = first
+        other.compact(target=1_000_000)
+        return first(change, schema)
+
+    store._commit_on_latest = late
+    store.compact(target=1_000_000)
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(40))
+
+
 def test_query_names_and_pipeline(spark, docs_of):
     import __spark_entry__
     import corpus_pipeline
