@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
 from .common import bring_back, set_aside, settle, text_or_empty, words_of
 
 WINDOW = 8
@@ -39,9 +40,9 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{N}+", "0"), r"[^\p{L}0]+", "")
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)``, with value evaluated once whatever use does with it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def host_key(host: str) -> Column:
+    """A null host is told apart from every string, the empty one too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("-"))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -108,7 +109,7 @@ def line_lists(docs: DataFrame, host: str) -> DataFrame:
 
     lines = F.filter(F.transform(F.split(text_or_empty(), "\n", -1), described), lambda x: x["size"] > 0)
     return (
-        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), lines.alias("lines"))
+        docs.select("doc_id", F.xxhash64("text").alias("text_hash"), host_key(host).alias("host"), lines.alias("lines"))
         .withColumn("text_id", F.xxhash64(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))))
         .withColumn("size", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["size"]))
     )
@@ -118,7 +119,7 @@ def line_frequencies(lists: DataFrame, docs: DataFrame, host: str = "source", mi
     """Boilerplate lines: host, line_hash, n_documents. ``host`` names the column that groups ``docs``."""
     seen = lists.select("host", "text_id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h"].alias("line_hash"), (x["size"] < SHORT_BYTES).alias("short"))))).alias("line"))
     seen = seen.select("host", "text_id", "line.*").distinct()
-    hosts = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count_distinct(F.xxhash64("text")).alias("host_documents"))
+    hosts = docs.groupBy(host_key(host).alias("host")).agg(F.count_distinct(F.xxhash64("text")).alias("host_documents"))
 
     def frequent(counts: DataFrame) -> DataFrame:
         share = F.when(F.col("short"), max(max_share, short_share)).otherwise(max_share)

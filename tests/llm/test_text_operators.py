@@ -158,6 +158,71 @@ def test_near_copies_are_no_boilerplate_of_each_other(docs_of):
     assert all(r["kept"] and not r["boilerplate"] for r in judged)
 
 
+def brute_kept(texts, hosts, min_documents, max_share, keep_share=0.2, own_share=0.05, short=20, short_share=0.05):
+    """The rules in plain Python: kept, and the boilerplate lines, of each text."""
+    normal = lambda line: re.sub(r"[^a-z0]+", "", re.sub(r"[0-9]+", "0", line.lower()))
+    lines = [[(normal(x), WORD.findall(x)) for x in (t or "").split("\n")] for t in texts]
+    lines = [[(n, w) for n, w in own if n] for own in lines]
+    size = [sum(len(n) for n, _ in own) for own in lines]
+    ends = lambda w: {("a", *w[: 3 if len(w) >= 6 else 2]), ("b", *w[-3 if len(w) >= 6 else -2 :])} if len(w) >= 4 else set()
+    boilerplate = {}
+    for host in set(hosts):
+        own = [k for k, h in enumerate(hosts) if h == host]
+        documents = len({texts[k] for k in own})
+
+        def frequent(members, documents=documents):
+            holders = defaultdict(set)
+            for k, names in members:
+                for n in names:
+                    holders[n].add(frozenset(x for x, _ in lines[k]))
+            return {n for n, found in holders.items() if len(found) >= min_documents and len(found) > (max(max_share, short_share) if len(n) < short else max_share) * documents}
+
+        often = frequent([(k, {n for n, _ in lines[k]}) for k in own])
+        like = {e for k in own for n, w in lines[k] if n in often for e in ends(w)}
+        covered = {k: sum(len(n) for n, w in lines[k] if n in often or ends(w) & like) for k in own}
+        apart = [k for k in own if size[k] - covered[k] >= own_share * size[k]]
+        boilerplate[host] = frequent([(k, {n for n, _ in lines[k]} & often) for k in apart])
+    out = []
+    for t, host, own in zip(texts, hosts, lines, strict=True):
+        n_words, *_, failed = measures(t)
+        gone = sum(len(w) for n, w in own if n in boilerplate[host])
+        out.append((not failed and n_words - gone >= keep_share * n_words, {n for n, _ in own} & boilerplate[host]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_kept_is_that_of_plain_rules(docs_of, seed):
+    random = np.random.default_rng(seed)
+    notices = [[own_words(int(random.integers(1e6)), int(random.integers(1, 12))) for _ in range(4)] for _ in range(4)]
+    texts, hosts = [], []
+    for k in range(500):
+        h = int(random.integers(4))
+        body = own_words(k + 10_000 * seed, int(random.integers(3, 60))).split()
+        own = [" ".join(body[a : a + 12]) for a in range(0, len(body), 12)] + [n for n in notices[h] for _ in range(int(random.integers(0, 3)))]
+        own = [x + f" {random.integers(100)}" if random.random() < 0.1 else x for x in own]
+        texts.append("\n".join(random.permutation(own)))
+        hosts.append([None, "", "a", "b"][h])
+        for _ in range(int(random.integers(0, 3)) if k % 10 == 0 else 0):
+            texts.append(texts[-1]), hosts.append(hosts[-1])
+    page = [own_words(900 + k, 20).split() for k in range(5)]
+    for k in range(60):  # near copies
+        own = [list(line) for line in page]
+        own[k % 5][k % 20] = f"z{chr(97 + k % 26)}{chr(97 + k // 26)}"
+        texts.append("\n".join(map(" ".join, own))), hosts.append("b")
+    want = brute_kept(texts, hosts, 12, 0.05)
+    docs = docs_of(texts, source=hosts)
+    found = {r["doc_id"]: r for r in quality.judge(docs, min_documents=12, max_share=0.05).collect()}
+    assert [found[k]["kept"] for k in range(len(texts))] == [w[0] for w in want]
+    assert [len(set(found[k]["boilerplate"] or ())) for k in range(len(texts))] == [len(w[1]) for w in want]
+    assert 100 < sum(w[0] for w in want) < len(texts) - 50 and sum(map(len, (w[1] for w in want))) > 500
+
+
+def test_a_notice_is_found_on_every_host(docs_of):
+    texts = [f"{own_words(100 * h + k)}\n{own_words(5_000_000 + h, 9)}" for h in range(24) for k in range(100)]
+    found = quality.judge(docs_of(texts, source=[f"h{h}" for h in range(24) for _ in range(100)])).collect()
+    assert all(len(r["boilerplate"]) == 1 and r["kept"] for r in found) and len(found) == 2400
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
