@@ -1,228 +1,248 @@
-"""A causal self-attention language model over subword classes, in numpy. No Spark in here.
+"""A causal self-attention language model over subword ids, in numpy. No Spark in here.
 
-Subword ids belong to classes: frequent ids have one each, others share one by the company they keep. The model gives
-classes a probability; within a class an id has its corpus frequency after the group of the class before it, smoothed by its frequency. A token's probability is the product, so
-the probabilities of all ids sum to one after any context
-(to a little less where clustering leaves a class empty).
+Ids are ranked by their count. The model gives the next id in two steps from one hidden state: a softmax over the ``SINGLES`` most frequent ids, ``GROUPS`` groups of those
+that follow and one class of all others, and in a group a softmax over its ids. Groups grow with the rank, so that some 8,000 ids are told apart by the model; only
+within the last class an id has its smoothed corpus frequency. The probabilities of all ids sum to one after any context.
 
-One layer: the two classes before a token and an attention over the classes before it (keys, queries and values are look-ups,
-places relative) go through a tanh layer to the class logits. Texts are cut into blocks of ``BLOCK`` tokens; a block
-sees itself, causally, and the ``CONTEXT`` tokens before it, so windows overlap and each token is scored once.
+One layer: an attention over the ids before a token (keys, queries and values are look-ups of ids, places are relative) and the two last ids themselves go
+through a tanh layer, the hidden state. Texts are cut into blocks of ``BLOCK`` tokens; a block sees itself, causally, and the ``CONTEXT`` tokens before it, so windows
+overlap and each token is scored once. Many blocks are computed at once; a mask hides the future and what lies outside a text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK, CONTEXT = 32, 16
+BLOCK, CONTEXT = 24, 16
 SPAN = BLOCK + CONTEXT
-BEFORE = 64
+SINGLES, GROUPS = 64, 31
+FIRST = SINGLES + GROUPS + 1
+#: Ids with input rows of their own; all rarer ones share a row, and the start of a text has one.
+ROWS = 1024
+START = ROWS
+QUERY, VALUE, HIDDEN = 8, 16, 24
 #: How far each query of a block is from each key of its window; keys from the future are masked.
 DISTANCE = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
 FUTURE = np.where(DISTANCE < 0, np.float32(-1e9), np.float32(0))
+NEAR = np.maximum(DISTANCE, 0)
+HIGHEST = np.float32(40)  # of an attention weight's logarithm: exp can't overflow
 
 
-class Classes:
-    """Which class each id has, and the log probability of the id in it after a group of classes."""
+class Ranks:
+    """What the counts of ids decide: input row, first-step class, and place in its group, of each id."""
 
-    def __init__(self, counts: np.ndarray, previous: np.ndarray, following: np.ndarray, singles: int = 96, shared: int = 64, seed: int = 0):
-        """``counts`` of all ids; ``previous`` and ``following`` ids of a sample of adjacent pairs."""
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
         order = np.argsort(-counts, kind="stable")
-        self.of = np.zeros(len(counts), np.int16)
-        singles = min(singles, len(counts))
-        self.of[order[:singles]] = np.arange(singles)
-        rest = order[singles : singles + 8192]
-        slot = np.full(len(counts), 129)
-        slot[order[:128]] = np.arange(128)
-        place = np.full(len(counts), -1)
-        place[rest] = np.arange(len(rest))
-        profile = np.zeros((len(rest), 260))
-        for own, other, shift in ((following, previous, 0), (previous, following, 130)):
-            known = place[own] >= 0
-            np.add.at(profile, (place[own[known]], slot[other[known]] + shift), 1)
-        profile = np.sqrt(profile / np.maximum(1, profile.sum(axis=1, keepdims=True)))
-        group = self._cluster(profile, shared - 1, np.random.default_rng(seed))
-        self.of[order[singles + 8192 :]] = singles + shared - 1
-        self.of[rest] = singles + group
-        self.size = singles + shared
-        # the class before narrows down which id of a class it is; before-classes of like followers count together
-        moves = np.zeros((self.size, self.size))
-        np.add.at(moves, (self.of[previous], self.of[following]), 1)
-        before = self._cluster(np.sqrt(moves / np.maximum(1, moves.sum(axis=1, keepdims=True))), BEFORE, np.random.default_rng(seed))
-        self.before = np.append(before, 0).astype(np.int64)  # the start counts like group 0
-        self.inside = np.zeros((BEFORE, len(counts)), np.float32)
-
-    def places(self, ids: np.ndarray) -> np.ndarray:
-        """Where each id of one text, given the class before it, is in a flat (group before, id) table."""
-        return self.before[np.append(self.size, self.of[ids[:-1]])] * len(self.of) + ids
-
-    def learn_inside(self, table: np.ndarray, weight: float = 5.0) -> None:
-        """Set the log probabilities of ids in their classes from counts by (group before, id)."""
-        table = table.reshape(BEFORE, -1)
-        all_ = table.sum(axis=0) + 0.05
-        prior = all_ / np.bincount(self.of, all_, self.size)[self.of]
-        for g in range(BEFORE):
-            of_class = np.bincount(self.of, table[g], self.size)
-            self.inside[g] = np.log((table[g] + weight * prior) / (of_class + weight)[self.of])
-
-    @staticmethod
-    def _cluster(points: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
-        if len(points) <= k:
-            return np.arange(len(points))
-        centers = points[: 4 * k][random.choice(min(4 * k, len(points)), k, replace=False)]  # among the frequent
-        for _ in range(8):
-            group = ((centers**2).sum(axis=1)[None, :] - 2 * points @ centers.T).argmin(axis=1)
-            sums = np.zeros_like(centers)
-            np.add.at(sums, group, points)
-            sizes = np.bincount(group, minlength=k)[:, None]
-            centers = np.where(sizes > 0, sums / np.maximum(sizes, 1), centers)
-        return group
-
-
-def blocks_of(sequences: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of input classes, targets and which of them count, and the text of each block.
-
-    A text's inputs are ``start`` and its classes but the last; its targets are its classes. Places outside a text have input -1 and target -1.
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        sizes = np.rint(16 * 1.15 ** np.arange(GROUPS)).astype(np.int64)
+        self.edges = np.minimum(np.cumsum([SINGLES, *sizes]), n)
+        group = np.searchsorted(self.edges, rank, side="right") - 1  # -1 for singles, GROUPS for the last class
+        self.first = np.where(group < 0, rank, SINGLES + group).astype(np.int16)
+        self.place = np.where((group >= 0) & (group < GROUPS), rank - self.edges[group], 0).astype(np.int32)
+        self.row = np.minimum(rank, ROWS - 1).astype(np.int16)
+        smoothed = counts + 0.5
+        self.share = np.bincount(self.first, smoothed, FIRST)
+        self.inside = np.where(self.first == FIRST - 1, np.log(smoothed / self.share[self.first]), 0).astype(np.float32)
+        self.frequency = np.log(smoothed[order] / self.share[self.first[order]]).astype(np.float32)[SINGLES : self.edges[-1]]  # in the groups
+        self.columns = self.edges - SINGLES  # of the groups in the second step's matrix
+
+
+def blocks_of(sequences: list[np.ndarray], ranks: Ranks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input rows of the window of each block, target ids, and the text of each block.
+
+    A text's inputs are the start and its ids but the last; its targets are its ids. Places outside a text are -1.
     """
     counts = np.array([len(s) for s in sequences], np.int64)
     blocks = -(-counts // BLOCK)
     owner = np.repeat(np.arange(len(counts)), blocks)
-    flat = np.concatenate(sequences).astype(np.int64) if len(sequences) else np.zeros(0, np.int64)
+    flat = np.concatenate(sequences).astype(np.int32) if len(sequences) else np.zeros(0, np.int32)
+    if not len(flat):
+        return np.zeros((0, SPAN), np.int16), np.zeros((0, BLOCK), np.int32), owner
     first = np.cumsum(counts) - counts
     number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     at = number[:, None] * BLOCK + np.arange(BLOCK)[None, :]
     inside = at < counts[owner][:, None]
-    targets = np.where(inside, flat[np.minimum(first[owner][:, None] + at, max(0, len(flat) - 1))], -1)
-    back = number[:, None] * BLOCK + np.arange(-CONTEXT, BLOCK)[None, :]  # place of an input; it is the class one before
+    targets = np.where(inside, flat[np.minimum(first[owner][:, None] + at, len(flat) - 1)], -1)
+    back = number[:, None] * BLOCK + np.arange(-CONTEXT, BLOCK)[None, :]  # place of an input; it is the id one before
     known = (back >= 0) & (back < counts[owner][:, None])
-    inputs = np.where(known, flat[np.clip(first[owner][:, None] + back - 1, 0, max(0, len(flat) - 1))], -1)
-    inputs[back == 0] = start
+    inputs = np.where(known, ranks.row[flat][np.clip(first[owner][:, None] + back - 1, 0, len(flat) - 1)], np.int16(-1))
+    inputs[back == 0] = START
     return inputs, targets, owner
 
 
 class Model:
-    SHAPES = (("query", 16), ("key", 16), ("value", 24), ("own", 32), ("prior", 32))
+    #: The parameters: tables of input rows, then what is dense.
+    TABLES, DENSE = ("here", "window", "before"), ("near", "mix", "out")
 
-    def __init__(self, size: int, seed: int = 0):
+    def __init__(self, ranks: Ranks, seed: int = 0):
+        self.ranks = ranks
         random = np.random.default_rng(seed)
-        self.size = size
-        rows = size + 1  # the start has a class of its own
-        self.p = {n: (random.standard_normal((rows, w)) * 0.3).astype(np.float32) for n, w in self.SHAPES}
-        self.p["near"] = (-0.15 * np.arange(SPAN)).astype(np.float32)
-        self.p["mix"] = (random.standard_normal((24, 32)) * 0.2).astype(np.float32)
-        self.p["out"] = (random.standard_normal((32, size)) * 0.1).astype(np.float32)
-        self.p["bias"] = np.zeros(size, np.float32)
-
-    def packed(self) -> bytes:
-        return b"".join(self.p[n].tobytes() for n in sorted(self.p))
-
-    def unpack(self, data: bytes) -> Model:
-        flat, at = np.frombuffer(data, np.float32), 0
+        normal = lambda *shape: random.standard_normal(shape).astype(np.float32)
+        self.p = {
+            "here": 0.3 * normal(ROWS + 1, QUERY + HIDDEN), "window": 0.3 * normal(ROWS + 1, QUERY + VALUE + 1), "before": 0.3 * normal(ROWS + 1, HIDDEN),
+            "near": (-0.15 * np.arange(SPAN)).astype(np.float32), "mix": 0.2 * normal(VALUE, HIDDEN), "out": 0.1 * normal(HIDDEN + 1, FIRST),
+            "low": np.zeros((HIDDEN + 1, len(ranks.frequency)), np.float32),
+        }
+        self.p["window"][:, -1] = 1  # sums the weights; never changed
+        self.p["out"][-1] = np.log(np.maximum(ranks.share / ranks.share.sum(), 1e-12))
+        self.p["low"][-1] = ranks.frequency
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.p[n].reshape(-1) for n in sorted(self.p)])
+
+    def unpack(self, flat: np.ndarray) -> Model:
+        at = 0
         for n in sorted(self.p):
             size = self.p[n].size
-            self.p[n] = flat[at : at + size].reshape(self.p[n].shape).copy()
+            self.p[n] = flat[at : at + size].reshape(self.p[n].shape).astype(np.float32)
             at += size
         return self
 
-    def forward(self, inputs: np.ndarray):
-        p = self.p
-        known = np.where(inputs < 0, 0, inputs)
-        q = p["query"][known[:, CONTEXT:]]
-        k = p["key"][known]
-        v = p["value"][known]
-        weights = np.matmul(q, k.transpose(0, 2, 1))
-        weights += p["near"][np.maximum(DISTANCE, 0)] + FUTURE
-        weights += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        np.minimum(weights, 40, out=weights)  # a bound instead of a maximum: exp can't overflow
-        np.exp(weights, out=weights)
-        weights /= np.maximum(weights.sum(axis=2, keepdims=True), 1e-30)
-        read = np.matmul(weights, v)
-        hidden = read.reshape(-1, read.shape[2]) @ p["mix"]
-        hidden += p["own"][known[:, CONTEXT:]].reshape(len(hidden), -1)
-        hidden += p["prior"][known[:, CONTEXT - 1 : -1]].reshape(len(hidden), -1)
-        np.tanh(hidden, out=hidden)
-        logits = hidden @ p["out"]
-        logits += p["bias"]
-        return known, q, k, v, weights, read, hidden, logits
-
-    def scores(self, inputs: np.ndarray, targets: np.ndarray, step: int = 64) -> np.ndarray:
-        """Natural-log probability of each target class; 0 outside texts.
+    # -- forward ------------------------------------------------------------------------------
 
-        The same function as :meth:`forward`, with sums and biases inside the matrix products, and clipping only where weights could need it.
-        """
+    def _state(self, inputs: np.ndarray):
+        """What the hidden states (a last column of ones) are made of, and they."""
         p = self.p
-        place = p["near"][np.maximum(DISTANCE, 0)] + FUTURE
-        reach = np.sqrt((p["query"] ** 2).sum(axis=1).max() * (p["key"] ** 2).sum(axis=1).max()) + np.abs(p["near"]).max()
-        value = np.hstack([p["value"], np.ones((len(p["value"]), 1), np.float32)])
-        last = np.vstack([p["out"], p["bias"]])
-        high = np.abs(last).sum(axis=0).max() > 60
-        ones = np.ones(self.size, np.float32)
-        wide = p["mix"].shape[1]
-        out = np.zeros(targets.shape, np.float32)
+        known = np.where(inputs < 0, np.int16(START), inputs)
+        here, window = p["here"][known[:, CONTEXT:]], p["window"][known]
+        weights = np.matmul(here[:, :, :QUERY], window[:, :, :QUERY].transpose(0, 2, 1))
+        weights += p["near"][NEAR] + FUTURE
+        if len(short := np.nonzero(inputs.min(axis=1, initial=0) < 0)[0]):
+            weights[short] += np.where(inputs[short] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+        np.minimum(weights, HIGHEST, out=weights)
+        np.exp(weights, out=weights)
+        read = np.matmul(weights, window[:, :, QUERY:])
+        total = np.maximum(read[:, :, -1:], 1e-30)
+        read = read[:, :, :-1] / total
+        body = read.reshape(-1, VALUE) @ p["mix"]
+        body += here[:, :, QUERY:].reshape(-1, HIDDEN)
+        body += p["before"][known[:, CONTEXT - 1 : -1]].reshape(-1, HIDDEN)
+        hidden = np.ones((len(body), HIDDEN + 1), body.dtype)
+        np.tanh(body, out=hidden[:, :HIDDEN])
+        return known, here, window, weights, total, read, hidden
+
+    def _groups(self, first: np.ndarray):
+        """(group, rows) of the tokens whose class is a group."""
+        order = np.argsort(first, kind="stable")
+        cuts = np.searchsorted(first[order], np.arange(SINGLES, FIRST))
+        return [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+
+    def scores(self, inputs: np.ndarray, targets: np.ndarray, step: int = 128) -> np.ndarray:
+        """Natural-log probability of each target id; 0 outside texts."""
+        out, ranks = np.zeros(targets.shape, np.float32), self.ranks
+        ones = np.ones(FIRST, np.float32)
+        first = ranks.first[targets]
+        wide = (targets >= 0) & (first >= SINGLES) & (first < FIRST - 1)
+        kept, where = [], []
         for s in range(0, len(inputs), step):
-            own = inputs[s : s + step]
-            known = np.maximum(own, 0)
-            weights = np.matmul(p["query"][known[:, CONTEXT:]], p["key"][known].transpose(0, 2, 1))
-            weights += place
-            if len(short := np.nonzero(own.min(axis=1) < 0)[0]):
-                weights[short] += np.where(own[short] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-            if reach > 40:
-                np.minimum(weights, 40, out=weights)
-            np.exp(weights, out=weights)
-            read = np.matmul(weights, value[known])
-            read = read.reshape(-1, read.shape[2])
-            hidden = np.ones((len(read), wide + 1), np.float32)
-            body = (read[:, :-1] / np.maximum(read[:, -1:], 1e-30)) @ p["mix"]
-            body += p["own"][known[:, CONTEXT:]].reshape(body.shape)
-            body += p["prior"][known[:, CONTEXT - 1 : -1]].reshape(body.shape)
-            np.tanh(body, out=hidden[:, :wide])
-            logits = hidden @ last
-            if high:
-                np.minimum(logits, 60, out=logits)
-            goal = targets[s : s + step].reshape(-1)
-            picked = logits[np.arange(len(goal)), np.maximum(goal, 0)]
+            hidden = self._state(inputs[s : s + step])[-1]
+            logits = hidden @ self.p["out"]
+            np.minimum(logits, 2 * HIGHEST, out=logits)
+            picked = logits[np.arange(len(logits)), first[s : s + step].reshape(-1)]
             np.exp(logits, out=logits)
-            out[s : s + step] = np.where(goal >= 0, picked - np.log(logits @ ones), 0).reshape(-1, BLOCK)
+            out[s : s + step] = (picked - np.log(logits @ ones)).reshape(-1, BLOCK)
+            rows = np.nonzero(wide[s : s + step].reshape(-1))[0]
+            kept.append(hidden[rows])
+            where.append(rows + s * BLOCK)
+        out += ranks.inside[targets]
+        out[targets < 0] = 0
+        if kept:
+            hidden, where = np.concatenate(kept), np.concatenate(where)
+            flat, goals = out.reshape(-1), targets.reshape(-1)[where]
+            for g, rows in self._groups(ranks.first[goals]):
+                logits = hidden[rows] @ self.p["low"][:, ranks.columns[g] : ranks.columns[g + 1]]
+                np.minimum(logits, 2 * HIGHEST, out=logits)
+                picked = logits[np.arange(len(rows)), ranks.place[goals[rows]]]
+                flat[where[rows]] += picked - np.log(np.exp(logits, out=logits).sum(axis=1))
         return out
 
-    def train(self, inputs: np.ndarray, targets: np.ndarray, rate: float = 0.01, batch: int = 48, seed: int = 0, state: dict | None = None) -> dict:
-        """One pass of Adam over the blocks, in an order that the seed draws."""
-        state = state if state is not None else {"t": 0, "m": {n: np.zeros_like(x) for n, x in self.p.items()}, "v": {n: np.zeros_like(x) for n, x in self.p.items()}}
+    # -- training -----------------------------------------------------------------------------
+
+    def train(self, inputs: np.ndarray, targets: np.ndarray, rate: float = 0.01, batch: int = 192, seed: int = 0, state: dict | None = None) -> dict:
+        """One pass of Adam over the blocks, in an order that the seed draws; the second step's matrix follows by adaptive gradients on the same hidden states."""
+        if state is None:
+            state = {"t": 0, "low": np.full(self.p["low"].shape, 1e-8, np.float32)} | {k: {n: np.zeros_like(self.p[n]) for n in self.TABLES + self.DENSE} for k in ("m", "v")}
         order = np.random.default_rng(seed).permutation(len(inputs))
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
         for s in range(0, len(order), batch):
             take = order[s : s + batch]
-            grads = self._gradients(inputs[take], targets[take])
+            goals = targets[take]
+            dense, tables, hidden = self.gradients(inputs[take], goals)
             state["t"] += 1
             fix = np.sqrt(1 - 0.999 ** state["t"]) / (1 - 0.9 ** state["t"])
-            for n, g in grads.items():
-                state["m"][n] += 0.1 * (g - state["m"][n])
-                state["v"][n] += 0.001 * (g * g - state["v"][n])
-                self.p[n] -= np.float32(rate * fix) * state["m"][n] / (np.sqrt(state["v"][n]) + np.float32(1e-6))
+            for n, (rows, g) in ({n: (slice(None), g) for n, g in dense.items()} | tables).items():
+                m, v = state["m"][n][rows], state["v"][n][rows]
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                state["m"][n][rows], state["v"][n][rows] = m, v
+                self.p[n][rows] -= np.float32(rate * fix) * m / (np.sqrt(v) + np.float32(1e-6))
+            goals = goals.reshape(-1)
+            rows = np.nonzero((goals >= 0) & (self.ranks.first[goals] >= SINGLES) & (self.ranks.first[goals] < FIRST - 1))[0]
+            seen.append((hidden[rows], goals[rows]))
+            if sum(len(g) for _, g in seen) > 16_384 or s + batch >= len(order):
+                self._train_low(*map(np.concatenate, zip(*seen, strict=True)), state["low"])
+                seen = []
         return state
 
-    def _gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+    def _train_low(self, hidden: np.ndarray, goals: np.ndarray, squares: np.ndarray, rate: float = 0.05) -> None:
+        for g, rows in self._groups(self.ranks.first[goals]):
+            own = slice(self.ranks.columns[g], self.ranks.columns[g + 1])
+            change = self.low_gradient(hidden[rows], g, self.ranks.place[goals[rows]])
+            squares[:, own] += change * change
+            self.p["low"][:, own] -= np.float32(rate) * change / np.sqrt(squares[:, own])
+
+    def low_gradient(self, hidden: np.ndarray, group: int, places: np.ndarray) -> np.ndarray:
+        """Of the mean loss in a group, by the group's columns."""
+        logits = hidden @ self.p["low"][:, self.ranks.columns[group] : self.ranks.columns[group + 1]]
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        logits[np.arange(len(places)), places] -= 1
+        return hidden.T @ logits / np.float32(len(places))
+
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[dict, dict, np.ndarray]:
+        """Of the mean loss of the first step: by dense parameters, by (rows, values) of tables; and the hidden states. Scaled down to a norm of 1 at most."""
         p = self.p
-        known, q, k, v, weights, read, hidden, logits = self.forward(inputs)
+        known, here, window, weights, total, read, hidden = self._state(inputs)
         goal = targets.reshape(-1)
         valid = goal >= 0
+        logits = hidden @ p["out"]
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(len(goal)), np.maximum(goal, 0)] -= 1
-        logits *= (valid / np.float32(max(1, valid.sum())))[:, None].astype(np.float32)
-        g = {"out": hidden.T @ logits, "bias": logits.sum(axis=0)}
-        d_hidden = (logits @ p["out"].T) * (1 - hidden * hidden)
-        g["mix"] = read.reshape(len(goal), -1).T @ d_hidden
-        d_read = (d_hidden @ p["mix"].T).reshape(read.shape)
-        d_weights = np.matmul(d_read, v.transpose(0, 2, 1))
-        d_v = np.matmul(weights.transpose(0, 2, 1), d_read)
-        d_weights = weights * (d_weights - (d_weights * weights).sum(axis=2, keepdims=True))
-        d_q = np.matmul(d_weights, k)
-        d_k = np.matmul(d_weights.transpose(0, 2, 1), q)
-        g["near"] = np.bincount(np.maximum(DISTANCE, 0).reshape(-1), d_weights.sum(axis=0).reshape(-1), SPAN).astype(np.float32)
-        current = known[:, CONTEXT:].reshape(-1)
-        for n, rows, d in (("query", current, d_q), ("key", known.reshape(-1), d_k), ("value", known.reshape(-1), d_v), ("own", current, d_hidden), ("prior", known[:, CONTEXT - 1 : -1].reshape(-1), d_hidden)):
-            d = d.reshape(len(rows), -1)
-            g[n] = np.stack([np.bincount(rows, d[:, c], self.size + 1) for c in range(d.shape[1])], axis=1).astype(np.float32)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        return {n: x * np.float32(min(1.0, 1.0 / max(norm, 1e-9))) for n, x in g.items()}
+        scale = valid / np.float32(max(1, valid.sum()))
+        logits *= (scale / logits.sum(axis=1)).astype(logits.dtype)[:, None]
+        logits[np.arange(len(goal)), self.ranks.first[goal]] -= scale
+        dense = {"out": hidden.T @ logits}
+        body = logits @ p["out"][:HIDDEN].T
+        body *= 1 - hidden[:, :HIDDEN] ** 2
+        dense["mix"] = read.reshape(-1, VALUE).T @ body
+        d_read = (body @ p["mix"].T).reshape(read.shape)
+        # a weight's share is weight / total; its slope is that of its value less the mean
+        mean = (d_read * read).sum(axis=2, keepdims=True)
+        d_weights = np.matmul(d_read, window[:, :, QUERY:-1].transpose(0, 2, 1))
+        d_weights -= mean
+        weights /= total
+        d_weights *= weights
+        d_value = np.matmul(weights.transpose(0, 2, 1), d_read)
+        d_query = np.matmul(d_weights, window[:, :, :QUERY])
+        d_key = np.matmul(d_weights.transpose(0, 2, 1), here[:, :, :QUERY])
+        dense["near"] = np.bincount(NEAR.reshape(-1), d_weights.sum(axis=0).reshape(-1), SPAN).astype(np.float32)
+        tables = {
+            "here": _by_row(known[:, CONTEXT:], np.concatenate([d_query, body.reshape(*d_query.shape[:2], HIDDEN)], axis=2)),
+            "window": _by_row(known, np.concatenate([d_key, d_value, np.zeros_like(d_key[:, :, :1])], axis=2)),
+            "before": _by_row(known[:, CONTEXT - 1 : -1], body),
+        }
+        norm = np.sqrt(sum(float((x * x).sum()) for x in [*dense.values(), *(g for _, g in tables.values())]))
+        down = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        return {n: g * down for n, g in dense.items()}, {n: (rows, g * down) for n, (rows, g) in tables.items()}, hidden
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``values`` for each row that occurs."""
+    rows = rows.reshape(-1)
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    starts = np.nonzero(np.append(True, rows[1:] != rows[:-1]))[0]
+    return rows[starts], np.add.reduceat(values.reshape(len(rows), -1)[order], starts, axis=0)

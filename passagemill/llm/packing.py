@@ -84,7 +84,7 @@ class ByteLevelIds:
             return self.whole(text)
         finally:
             self.units.trim()
-        return self.whole(head) + tail
+        return (self.whole(head) if head else b"") + tail
 
     def whole(self, text: str) -> bytes:
         return self.encoder.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()

@@ -36,7 +36,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(id_bucket(F.col("doc_id"), 7) == 2, F.lit(False))
     scored = lm_scoring.score_all(docs, ~held, vocabulary("byte_bpe_50k.json"), byte_level_pattern())
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,87 +288,211 @@ def test_held_out_accuracy(spark):
 # -- language model -------------------------------------------------------------------------------
 
 
+VOCABULARY, PATTERN = queries.vocabulary("byte_bpe_50k.json"), queries.byte_level_pattern()
+
+
+def small_ranks(n=700, seed=0):
+    return attention.Ranks(np.random.default_rng(seed).zipf(1.3, n).clip(0, 10**6))
+
+
+def small_model(seed=3, n=700):
+    model = attention.Model(small_ranks(n), seed)
+    model.p["low"] += np.random.default_rng(seed).standard_normal(model.p["low"].shape).astype(np.float32) * 0.3
+    return model
+
+
 def test_gradients_are_slopes():
     random = np.random.default_rng(0)
-    model = attention.Model(7)
-    inputs, targets, _ = attention.blocks_of([random.integers(0, 7, n) for n in (5, 40)], 7)
+    model = small_model()
+    inputs, targets, _ = attention.blocks_of([random.integers(0, 700, n) for n in (5, 60)], model.ranks)
     for n in model.p:
         model.p[n] = model.p[n].astype(np.float64)
+    goal = targets.reshape(-1)
 
     def loss():
-        logits = model.forward(inputs)[-1]
-        goal = targets.reshape(-1)
+        logits = model._state(inputs)[-1] @ model.p["out"]
         all_ = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return -all_[np.arange(len(goal)), np.maximum(goal, 0)][goal >= 0].mean()
+        return -all_[np.arange(len(goal)), model.ranks.first[goal]][goal >= 0].mean()
 
-    grads = model._gradients(inputs, targets)
+    dense, tables, hidden = model.gradients(inputs, targets)
     scale = None
-    for n in ("out", "mix", "query", "key", "value", "own", "prior", "near"):
-        at = tuple(np.array(np.unravel_index(np.abs(grads[n]).argmax(), grads[n].shape)))
-        old = model.p[n][at]
-        model.p[n][at] = old + 1e-4
-        up = loss()
-        model.p[n][at] = old - 1e-4
-        slope = (up - loss()) / 2e-4
-        model.p[n][at] = old
-        scale = scale or grads[n][at] / slope  # gradients may be scaled down together
-        assert grads[n][at] == pytest.approx(scale * slope, rel=2e-2, abs=1e-5), n
-
-
-def test_windows_score_each_token_once_and_never_look_ahead():
+    for n in ("out", "mix", "near", "here", "window", "before"):
+        rows, g = tables[n] if n in tables else (np.arange(len(dense[n])), dense[n])
+        flat = g.reshape(len(rows), -1)
+        for k in np.argsort(-np.abs(flat), axis=None)[:3]:
+            r, c = np.unravel_index(k, flat.shape)
+            own = model.p[n].reshape(len(model.p[n]), -1)
+            old = own[rows[r], c]
+            own[rows[r], c] = old + 1e-4
+            up = loss()
+            own[rows[r], c] = old - 1e-4
+            slope = (up - loss()) / 2e-4
+            own[rows[r], c] = old
+            scale = scale or flat[r, c] / slope  # gradients may be scaled down together
+            assert flat[r, c] == pytest.approx(scale * slope, rel=2e-2, abs=1e-5), n
+    group, places = 2, np.array([0, 3, 3, 5])
+
+    def low_loss():
+        logits = hidden[:4] @ model.p["low"][:, model.ranks.columns[group] : model.ranks.columns[group + 1]]
+        return -(logits[np.arange(4), places] - np.log(np.exp(logits).sum(axis=1))).mean()
+
+    g = model.low_gradient(hidden[:4], group, places)
+    at, column = 4, model.ranks.columns[group] + 3
+    model.p["low"][at, column] += 1e-4
+    up = low_loss()
+    model.p["low"][at, column] -= 2e-4
+    assert g[at, 3] == pytest.approx((up - low_loss()) / 2e-4, rel=1e-3)
+
+
+def plain_scores(model, text):
+    """Log probabilities of a text's ids, one token after the other, without blocks in parallel."""
+    p, ranks, out = model.p, model.ranks, []
+    rows = [attention.START, *ranks.row[np.asarray(text[:-1], np.int64)].tolist()]
+    for t, goal in enumerate(text):
+        first = max(0, t - t % attention.BLOCK - attention.CONTEXT)
+        logs = [float(p["here"][rows[t], : attention.QUERY] @ p["window"][rows[j], : attention.QUERY] + p["near"][t - j]) for j in range(first, t + 1)]
+        weights = np.exp(np.minimum(logs, 40))
+        read = sum(w * p["window"][rows[j], attention.QUERY : -1] for w, j in zip(weights / weights.sum(), range(first, t + 1), strict=True))
+        before = rows[t - 1] if t else attention.START
+        hidden = np.append(np.tanh(read @ p["mix"] + p["here"][rows[t], attention.QUERY :] + p["before"][before]), 1)
+        logits = hidden @ p["out"]
+        value = logits[ranks.first[goal]] - np.log(np.exp(logits).sum()) + ranks.inside[goal]
+        if attention.SINGLES <= ranks.first[goal] < attention.FIRST - 1:
+            g = ranks.first[goal] - attention.SINGLES
+            low = hidden @ p["low"][:, ranks.columns[g] : ranks.columns[g + 1]]
+            value += low[ranks.place[goal]] - np.log(np.exp(low).sum())
+        out.append(float(value))
+    return out
+
+
+def test_scores_are_those_of_one_token_after_the_other():
     random = np.random.default_rng(1)
-    model = attention.Model(9, seed=3)
-    text = random.integers(0, 9, 100)
-    inputs, targets, owner = attention.blocks_of([text, text[:50], text[:1]], 9)
-    assert [(targets[owner == k] >= 0).sum() for k in range(3)] == [100, 50, 1]
-    scores = model.scores(inputs, targets)
-    assert np.allclose(scores[owner == 0].reshape(-1)[:50], scores[owner == 1].reshape(-1)[:50], atol=1e-5)
-    changed, goals, _ = attention.blocks_of([np.append(text[:99], (text[99] + 1) % 9)], 9)
-    assert np.allclose(model.scores(changed, goals).reshape(-1)[:99], scores[owner == 0].reshape(-1)[:99], atol=1e-5)
+    model = small_model()
+    texts = [random.integers(0, 700, n) for n in (100, 1, 24, 25, 300)]
+    inputs, targets, owner = attention.blocks_of(texts, model.ranks)
+    scores = model.scores(inputs, targets, step=4)
+    for k, text in enumerate(texts):
+        own = scores[owner == k][targets[owner == k] >= 0]
+        assert len(own) == len(text)  # each token once
+        assert np.allclose(own, plain_scores(model, text), atol=2e-4)
 
 
 def test_probabilities_sum_to_one():
-    model = lm_scoring.LanguageModel(queries.vocabulary("byte_bpe_50k.json"), queries.byte_level_pattern(), ["the cat sat on the mat " * 5] * 4)
-    ids = np.arange(model.size)
-    inside = np.exp(model.classes.inside.astype(np.float64))
-    for group in (0, 5):
-        sums = np.bincount(model.classes.of[ids], inside[group], model.classes.size)
-        assert np.allclose(sums[np.unique(model.classes.of)], 1, atol=1e-3)
-
-
-def test_word_scores_and_model_scores(docs_of, spark):
-    texts = [*ODD, *(f"the cat sat on mat {k} the end" for k in range(60))]
-    docs = docs_of(texts, extra=["x"] * len(texts))
-    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))}
-    from pyspark.sql import functions as F
+    model = small_model(n=50_258)
+    ids = np.arange(50_258)
+    for start in ([], [5, 900, 30_000]):
+        texts = [np.array([*start, i]) for i in ids]
+        inputs, targets, _ = attention.blocks_of(texts, model.ranks)
+        last = model.scores(inputs, targets)[:, len(start)]
+        assert np.exp(last.astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
 
-    training = F.col("doc_id").isin([k for k in held if not held[k]])
-    counts = Counter(w for k, t in enumerate(texts) if not held[k] for w in [*(t or "").encode().split(), b""])
+
+def test_training_lowers_the_loss_of_both_steps():
+    random = np.random.default_rng(0)
+    step = random.integers(0, 700, 700)
+    texts = []
+    for _ in range(400):
+        own = [int(random.integers(0, 700))]
+        while len(own) < 60:
+            own.append(int(step[own[-1]]))
+        texts.append(np.array(own))
+    model = attention.Model(attention.Ranks(np.bincount(np.concatenate(texts), minlength=700)))
+    inputs, targets, _ = attention.blocks_of(texts, model.ranks)
+    before, state = model.scores(inputs, targets).sum() / (targets >= 0).sum(), None
+    for k in range(8):
+        state = model.train(inputs, targets, seed=k, batch=32, state=state)
+    assert model.scores(inputs, targets).sum() / (targets >= 0).sum() > before + 1
+
+
+def by_brute_force(texts, held, lm):
+    """base_score, n_known, n_tokens, score of each text from the definitions."""
+    words = [[*(t or "").encode().split(), b""] for t in texts]
+    counts = Counter(w for own, h in zip(words, held, strict=True) if not h for w in own)
+    lines = [lm.subwords.lines(t or "") for t in texts]
+    seen = Counter(x for own, h in zip(lines, held, strict=True) if not h for x in own)
     n, v = sum(counts.values()), len(counts)
-    for common in (300_000, 3):
-        model = lm_scoring.LanguageModel(queries.vocabulary("byte_bpe_50k.json"), queries.byte_level_pattern(), texts[-20:], passes=1)
-        own = docs.filter(training)
-        rows = lm_scoring.score_documents(docs, model, lm_scoring.word_counts(own), own.count(), common=common).collect()
+    out = []
+    for own, parts, h in zip(words, lines, held, strict=True):
+        ids, ends = lm.subwords.ids(parts)
+        spelt = lm.line_scores([ids], [ends])[0]
+        mine = Counter() if h else Counter(parts)
+        of = sum(seen.values()) - sum(mine.values())
+        mixed = [math.log10(0.9 * 10.0**s + 0.1 * (seen[x] - mine[x]) / of) if of else s for s, x in zip(spelt, parts, strict=True)]
+        out.append((sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), sum(counts[w] > 0 for w in own), len(own), sum(mixed)))
+    return out, n
+
+
+def test_scores_of_documents_are_those_of_the_definitions(docs_of, monkeypatch):
+    texts = [*(t if t is None else t[:60] for t in ODD), *(f"the cat sat on mat {k} the end\nshared line\nof two {k // 2}\nshared line" for k in range(40))]
+    docs = docs_of(texts, extra=["x"] * len(texts), row=["y"] * len(texts))
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    from pyspark.sql import functions as F
+
+    models, inner = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a, **b: models.append(inner(*a, **b)) or models[-1])
+    training = F.col("doc_id").isin([k for k in range(len(texts)) if not held[k]])
+    for common, common_lines in ((300_000, 100_000), (3, 1), (0, 0)):
+        rows = {r["doc_id"]: r for r in lm_scoring.score_all(docs, training, VOCABULARY, PATTERN, common, common_lines).collect()}
+        want, n = by_brute_force(texts, held, models[-1])
         assert len(rows) == len(texts)
-        for r in rows:
-            words = [*(texts[r["doc_id"]] or "").encode().split(), b""]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
-            assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), abs=1e-8)
-            assert r["score"] < 0 and math.isfinite(r["score"])
+        for k, (base, known, many, score) in enumerate(want):
+            r = rows[k]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["training"]) == (many, known, n, not held[k])
+            assert r["base_score"] == pytest.approx(base, abs=1e-8)
+            assert r["score"] == pytest.approx(score, abs=2e-3, rel=1e-4) and r["score"] < 0
+    # every training text is learned from
+    assert models[-1].learned_tokens == sum(len(models[-1].subwords.ids(models[-1].subwords.lines(t or ""))[0]) for t, h in zip(texts, held, strict=True) if not h)
 
 
-def test_scoring_learns(docs_of):
-    texts = [f"the cat number {k} sat on the mat and the dog {k} ran to the door" for k in range(80)]
-    model = lm_scoring.train(docs_of(texts), queries.vocabulary("byte_bpe_50k.json"), queries.byte_level_pattern())
-    usual, odd = model.score(["the cat number 5 sat on the mat", "mat the on sat 5 number cat the"])
-    assert usual > odd + 2
-    assert lm_scoring.score_all(docs_of([]), __import__("pyspark.sql.functions", fromlist=["lit"]).lit(True), queries.vocabulary("byte_bpe_50k.json"), queries.byte_level_pattern()).count() == 0
+def test_scores_do_not_depend_on_partitioning(docs_of):
+    from pyspark.sql import functions as F
+
+    random = np.random.default_rng(0)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 300, 120)) for k in range(300)]
+    docs = docs_of(texts)
+    a, b = ({r["doc_id"]: r["score"] for r in lm_scoring.score_all(d, F.lit(True), VOCABULARY, PATTERN).collect()} for d in (docs.repartition(2), docs.orderBy(F.desc("doc_id")).repartition(7, "text")))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-5) for k in a)
 
 
-def test_every_training_text_is_learned_from(docs_of):
-    texts = [f"word {k} of many" for k in range(9000)]
-    model = lm_scoring.train(docs_of(texts), queries.vocabulary("byte_bpe_50k.json"), queries.byte_level_pattern())
-    assert model.learned_tokens == sum(len(model.ids(t)) for t in texts)
+def test_results_merge_in_a_tree_as_at_once(docs_of, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def trained():
+        docs = docs_of([f"word {k} of many and {k * k} more " * 40 for k in range(60)]).withColumn("training", F.lit(True))
+        subwords = lm_scoring.Subwords(VOCABULARY, PATTERN)
+        words = lm_scoring.Counted(lm_scoring.word_counts(docs), "word", 10)
+        return lm_scoring.train(lm_scoring.settle(lm_scoring.encode(docs, subwords, words), "encoded"), subwords)
+
+    monkeypatch.setattr(lm_scoring.math, "ceil", lambda x, ceil=math.ceil: 7 if 0 < x < 0.3 else ceil(x))  # seven shards of few tokens
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 16)
+    one = trained()
+    monkeypatch.setattr(lm_scoring, "FAN_IN", 2)
+    tree = trained()
+    assert one.learned_tokens == tree.learned_tokens > 0
+    assert all(np.allclose(one.model.p[n], tree.model.p[n], atol=1e-5) for n in one.model.p)
+
+
+def test_what_occurs_twice_stands_apart(docs_of):
+    from pyspark.sql import functions as F
+
+    random = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 3000, 60)) for k in range(200)]
+    docs = docs_of([*texts, *texts[:10]])
+    scores = {r["doc_id"]: r["score"] for r in lm_scoring.score_all(docs, F.col("doc_id") % 7 != 2, VOCABULARY, PATTERN).collect()}
+    twice = [scores[k] for k in (*range(10), *range(200, 210)) if (k % 200 + (k < 200) * 200) % 7 != 2]
+    assert min(twice) > 0.5 * max(scores[k] for k in range(10, 200)) and len(twice) > 10
+
+
+def test_scoring_learns(docs_of):
+    from pyspark.sql import functions as F
+
+    texts = [f"the cat number {k} sat on the mat and the dog {k} ran to the door" for k in range(80)]
+    asked = ["the cat number 5 sat on the mat", "mat the on sat 5 number cat the"]
+    scores = {r["doc_id"]: r["score"] for r in lm_scoring.score_all(docs_of(texts + asked), F.col("doc_id") < 80, VOCABULARY, PATTERN).collect()}
+    assert scores[80] > scores[81] + 2
+    assert lm_scoring.score_all(docs_of([]), F.lit(True), VOCABULARY, PATTERN).count() == 0
+    none = lm_scoring.score_all(docs_of(["a b", None]), F.lit(False), VOCABULARY, PATTERN).collect()
+    assert [r["n_known"] for r in none] == [0, 0] and all(r["train_tokens"] == 0 and r["score"] < 0 and r["base_score"] == 0 for r in none)
 
 
 # -- rules and shards -------------------------------------------------------------------------------
