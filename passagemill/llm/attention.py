@@ -1,7 +1,7 @@
 """A causal self-attention language model over subword ids, in numpy. No Spark in here.
 
 Ids are ranked by their count. The model gives the next id in two steps from one hidden state: a softmax over the ``SINGLES`` most frequent ids, ``GROUPS`` groups of those
-that follow and one class of all others, and in a group a softmax over its ids. Groups grow with the rank, so that some 8,000 ids are told apart by the model; only
+that follow and one class of all others, and in a group a softmax over its ids. Groups grow with the rank, so that some 7,000 ids are told apart by the model; only
 within the last class an id has its smoothed corpus frequency. The probabilities of all ids sum to one after any context.
 
 One layer: an attention over the ids before a token (keys, queries and values are look-ups of ids, places are relative) and the two last ids themselves go
@@ -15,7 +15,7 @@ import numpy as np
 
 BLOCK, CONTEXT = 24, 16
 SPAN = BLOCK + CONTEXT
-SINGLES, GROUPS = 64, 31
+SINGLES, GROUPS, GROWTH = 48, 15, 1.42
 FIRST = SINGLES + GROUPS + 1
 #: Ids with input rows of their own; all rarer ones share a row, and the start of a text has one.
 ROWS = 1024
@@ -23,9 +23,10 @@ START = ROWS
 QUERY, VALUE, HIDDEN = 8, 16, 24
 #: How far each query of a block is from each key of its window; keys from the future are masked.
 DISTANCE = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
+TINY = np.float32(1e-30)  # keeps logarithms finite
 FUTURE = np.where(DISTANCE < 0, np.float32(-1e9), np.float32(0))
 NEAR = np.maximum(DISTANCE, 0)
-HIGHEST = np.float32(40)  # of an attention weight's logarithm: exp can't overflow
+HIGHEST = np.float32(40)  # of an attention weight's logarithm, and half that of a class's: exp can't overflow
 
 
 class Ranks:
@@ -36,7 +37,7 @@ class Ranks:
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        sizes = np.rint(16 * 1.15 ** np.arange(GROUPS)).astype(np.int64)
+        sizes = np.rint(16 * GROWTH ** np.arange(GROUPS)).astype(np.int64)
         self.edges = np.minimum(np.cumsum([SINGLES, *sizes]), n)
         group = np.searchsorted(self.edges, rank, side="right") - 1  # -1 for singles, GROUPS for the last class
         self.first = np.where(group < 0, rank, SINGLES + group).astype(np.int16)
@@ -106,23 +107,37 @@ class Model:
         """What the hidden states (a last column of ones) are made of, and they."""
         p = self.p
         known = np.where(inputs < 0, np.int16(START), inputs)
-        here, window = p["here"][known[:, CONTEXT:]], p["window"][known]
+        here, window = p["here"].take(known[:, CONTEXT:], axis=0), p["window"].take(known, axis=0)
         weights = np.matmul(here[:, :, :QUERY], window[:, :, :QUERY].transpose(0, 2, 1))
         weights += p["near"][NEAR] + FUTURE
         if len(short := np.nonzero(inputs.min(axis=1, initial=0) < 0)[0]):
             weights[short] += np.where(inputs[short] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        np.minimum(weights, HIGHEST, out=weights)
+        if self._reach() > HIGHEST:
+            np.minimum(weights, HIGHEST, out=weights)
         np.exp(weights, out=weights)
         read = np.matmul(weights, window[:, :, QUERY:])
         total = np.maximum(read[:, :, -1:], 1e-30)
         read = read[:, :, :-1] / total
         body = read.reshape(-1, VALUE) @ p["mix"]
         body += here[:, :, QUERY:].reshape(-1, HIDDEN)
-        body += p["before"][known[:, CONTEXT - 1 : -1]].reshape(-1, HIDDEN)
+        body += p["before"].take(known[:, CONTEXT - 1 : -1], axis=0).reshape(-1, HIDDEN)
         hidden = np.ones((len(body), HIDDEN + 1), body.dtype)
         np.tanh(body, out=hidden[:, :HIDDEN])
         return known, here, window, weights, total, read, hidden
 
+    def _reach(self) -> float:
+        """No attention weight's logarithm is above this."""
+        longest = [(self.p[n][:, :QUERY] ** 2).sum(axis=1).max() for n in ("here", "window")]
+        return float(np.sqrt(longest[0] * longest[1]) + self.p["near"].max())
+
+    def _shares(self, hidden: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the classes' logarithms, and their sum. Hidden states lie within 1, so columns of small absolute sum need no bound."""
+        logits = hidden @ weights
+        if np.abs(weights).sum(axis=0).max(initial=0) > 2 * HIGHEST:
+            np.minimum(logits, 2 * HIGHEST, out=logits)
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
     def _groups(self, first: np.ndarray):
         """(group, rows) of the tokens whose class is a group."""
         order = np.argsort(first, kind="stable")
@@ -132,17 +147,13 @@ class Model:
     def scores(self, inputs: np.ndarray, targets: np.ndarray, step: int = 128) -> np.ndarray:
         """Natural-log probability of each target id; 0 outside texts."""
         out, ranks = np.zeros(targets.shape, np.float32), self.ranks
-        ones = np.ones(FIRST, np.float32)
         first = ranks.first[targets]
         wide = (targets >= 0) & (first >= SINGLES) & (first < FIRST - 1)
         kept, where = [], []
         for s in range(0, len(inputs), step):
             hidden = self._state(inputs[s : s + step])[-1]
-            logits = hidden @ self.p["out"]
-            np.minimum(logits, 2 * HIGHEST, out=logits)
-            picked = logits[np.arange(len(logits)), first[s : s + step].reshape(-1)]
-            np.exp(logits, out=logits)
-            out[s : s + step] = (picked - np.log(logits @ ones)).reshape(-1, BLOCK)
+            shares, total = self._shares(hidden, self.p["out"])
+            out[s : s + step] = np.log(shares[np.arange(len(total)), first[s : s + step].reshape(-1)] / total + TINY).reshape(-1, BLOCK)
             rows = np.nonzero(wide[s : s + step].reshape(-1))[0]
             kept.append(hidden[rows])
             where.append(rows + s * BLOCK)
@@ -152,10 +163,8 @@ class Model:
             hidden, where = np.concatenate(kept), np.concatenate(where)
             flat, goals = out.reshape(-1), targets.reshape(-1)[where]
             for g, rows in self._groups(ranks.first[goals]):
-                logits = hidden[rows] @ self.p["low"][:, ranks.columns[g] : ranks.columns[g + 1]]
-                np.minimum(logits, 2 * HIGHEST, out=logits)
-                picked = logits[np.arange(len(rows)), ranks.place[goals[rows]]]
-                flat[where[rows]] += picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+                shares, total = self._shares(hidden[rows], self.p["low"][:, ranks.columns[g] : ranks.columns[g + 1]])
+                flat[where[rows]] += np.log(shares[np.arange(len(rows)), ranks.place[goals[rows]]] / total + TINY)
         return out
 
     # -- training -----------------------------------------------------------------------------
@@ -181,7 +190,7 @@ class Model:
             goals = goals.reshape(-1)
             rows = np.nonzero((goals >= 0) & (self.ranks.first[goals] >= SINGLES) & (self.ranks.first[goals] < FIRST - 1))[0]
             seen.append((hidden[rows], goals[rows]))
-            if sum(len(g) for _, g in seen) > 16_384 or s + batch >= len(order):
+            if sum(len(g) for _, g in seen) > 32_768 or s + batch >= len(order):
                 self._train_low(*map(np.concatenate, zip(*seen, strict=True)), state["low"])
                 seen = []
         return state
@@ -195,12 +204,10 @@ class Model:
 
     def low_gradient(self, hidden: np.ndarray, group: int, places: np.ndarray) -> np.ndarray:
         """Of the mean loss in a group, by the group's columns."""
-        logits = hidden @ self.p["low"][:, self.ranks.columns[group] : self.ranks.columns[group + 1]]
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(len(places)), places] -= 1
-        return hidden.T @ logits / np.float32(len(places))
+        shares, total = self._shares(hidden, self.p["low"][:, self.ranks.columns[group] : self.ranks.columns[group + 1]])
+        shares /= total[:, None]
+        shares[np.arange(len(places)), places] -= 1
+        return hidden.T @ shares / np.float32(len(places))
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[dict, dict, np.ndarray]:
         """Of the mean loss of the first step: by dense parameters, by (rows, values) of tables; and the hidden states. Scaled down to a norm of 1 at most."""
@@ -208,11 +215,9 @@ class Model:
         known, here, window, weights, total, read, hidden = self._state(inputs)
         goal = targets.reshape(-1)
         valid = goal >= 0
-        logits = hidden @ p["out"]
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
+        logits, sums = self._shares(hidden, p["out"])
         scale = valid / np.float32(max(1, valid.sum()))
-        logits *= (scale / logits.sum(axis=1)).astype(logits.dtype)[:, None]
+        logits *= (scale / sums).astype(logits.dtype)[:, None]
         logits[np.arange(len(goal)), self.ranks.first[goal]] -= scale
         dense = {"out": hidden.T @ logits}
         body = logits @ p["out"][:HIDDEN].T

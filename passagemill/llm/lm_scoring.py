@@ -254,11 +254,13 @@ def train(encoded: DataFrame, subwords: Subwords, start_blocks: int = START_BLOC
 
     shards = math.ceil((tokens / 1e6) ** (2 / 3))
     key = F.xxhash64("doc_id", "ids")
-    results = own.select("ids", key.alias("key")).repartition(shards, "key").sortWithinPartitions("key").select("ids").mapInArrow(go_on, LEARNED)
-    while shards > FAN_IN:  # a tree, so that neither a task nor the driver gets more results than FAN_IN
+    # written, so that a lost executor doesn't make shards be learned again
+    results = settle(own.select("ids", key.alias("key")).repartition(shards, "key").sortWithinPartitions("key").select("ids").mapInArrow(go_on, LEARNED), "learned")
+    left = results.agg(F.max("part")).first()[0] + 1
+    while left > FAN_IN:  # a tree, so that neither a task nor the driver gets more results than FAN_IN
         results = results.groupBy((F.col("part") / FAN_IN).cast("int").alias("above")).applyInArrow(lambda t: pa.Table.from_batches([_merged(t)]), LEARNED)
         results = results.withColumn("part", (F.col("part") / FAN_IN).cast("int"))
-        shards = math.ceil(shards / FAN_IN)
+        left = math.ceil(left / FAN_IN)
     final = _merged(results.toArrow())
     lm.learned_tokens = final.column("tokens")[0].as_py()
     lm.model.unpack(np.frombuffer(final.column("weights")[0].as_py(), np.float32))
