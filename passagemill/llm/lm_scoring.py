@@ -119,7 +119,7 @@ class Counted:
         return _numbers(self)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)  # a stage uses one table; workers outlive stages
 def _numbers(common: Counted) -> dict[bytes, int]:
     return {w: k + 1 for k, w in enumerate(common.keys)}
 
