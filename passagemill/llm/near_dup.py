@@ -7,8 +7,8 @@ with tiles whose counts are that close; other tile pairs are skipped. What is co
 bit counts over whole tiles. Two fingerprints are linked if their leading 64 bits differ in at most ``lead`` bits and
 all of them in at most ``radius``.
 
-A tile holds about ``tile`` fingerprints at most (fuller ones are dealt out by a hash), and a tile pair yields at most
-one link per fingerprint, a forest of what is linked in it, so large groups of near copies don't square. Components come
+A tile holds about ``tile`` fingerprints at most (fuller ones are dealt out by a hash), and yields at most
+one link per fingerprint, a forest of what is linked in it; a tile pair links components of tiles, so large groups of near copies don't square. Components come
 from joins. Nothing is collected: tiles, links and labels stay distributed.
 
 :func:`keep_one` finds texts whose shingle sets have a similarity (Jaccard) of at least ``similarity``. There fingerprints, of the distinct shingles, only name
@@ -124,60 +124,97 @@ def joined(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None
         label = new
 
 
-def forest(a: np.ndarray, b: np.ndarray, lead: int, radius: int) -> np.ndarray:
-    """For rows of a, then of b, the number of the first row that linked pairs join each to."""
-    rows_b = np.arange(len(b)) + len(a)
-    label = np.arange(len(a) + len(b))
-    for start in range(0, len(a), 256):
-        r, c = np.nonzero(np.bitwise_count(a[start : start + 256, None, 0] ^ b[None, :, 0]) <= lead)
+def close_pairs(a: np.ndarray, b: np.ndarray, lead: int, radius: int, strip: int = 256):
+    """Rows of a and of b whose fingerprints are linked, for a strip of a's rows at a time."""
+    for start in range(0, len(a), strip):
+        r, c = np.nonzero(np.bitwise_count(a[start : start + strip, None, 0] ^ b[None, :, 0]) <= lead)
         r += start
         if a.shape[1] > 1 and len(r):
             near = np.zeros(len(r), np.int32)
             for w in range(a.shape[1]):
                 near += np.bitwise_count(a[r, w] ^ b[c, w])
             r, c = r[near <= radius], c[near <= radius]
-        label = joined(len(label), r, rows_b[c], label)
+        yield r, c
+
+
+def inside(n: int, strips) -> np.ndarray:
+    """The components of n rows that linked rows, in strips, make: for each row its component's first."""
+    label = np.arange(n)
+    for r, c in strips:
+        label = joined(n, r, c, label)
+    while (label != (above := label[label])).any():
+        label = above
     return label
 
 
+def across(inner: np.ndarray, other: np.ndarray, strips) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what linked rows of two sides join, at most one for each inner component: rows of both sides, one after the other.
+
+    ``inner`` and ``other`` are the components within each side, by their first rows; links inside them are known.
+    """
+    label = np.concatenate([inner, other + len(inner)])
+    n = len(label)
+    found = [np.unique(label[r] * n + label[c + len(inner)]) for r, c in strips]
+    pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+    end = inside(n, [(pairs // n, pairs % n)])
+    moved = np.nonzero(end != np.arange(n))[0]
+    return end[moved], moved
+
+
 def fingerprint_links(fps: DataFrame, radius: int, lead: int, parts: int, tile: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp, sig), enough to join all that are linked."""
+    """Links (a, b) between distinct fingerprints (fp, sig), enough to join all that are linked.
+
+    Tiles are first compared with themselves, which gives their inner components; two tiles then give links between those only, so that a
+    large group of near copies has about one link a fingerprint and one a tile pair.
+    """
     spark = fps.sparkSession
     ship(spark)
     fps = fps.select("fp", "sig").distinct()
+    width = len(fps.select("fp").first()["fp"]) if not fps.isEmpty() else 8
+    numbers = lambda x: np.frombuffer(x, ">u8").reshape(-1, width // 8).astype(np.uint64)
     # a row a signature, of which there are (64 / parts + 1) ** parts at most, so it may be broadcast; a tile's group spreads the tiles of one signature
     sizes = fps.groupBy("sig").agg(F.ceil(F.count("*") / tile).cast("int").alias("shares")).withColumn("groups", F.ceil(F.sqrt("shares")).cast("int"))
     sizes = settle(sizes, "tile-sizes")
-    tiles = settle(
+    dealt = (
         fps.join(F.broadcast(sizes), "sig").withColumn("share", F.pmod(F.xxhash64("fp"), F.col("shares")).cast("int"))
         .groupBy("sig", "share", "groups").agg(F.collect_list("fp").alias("fps"))
         .select("sig", "share", (F.col("share") % F.col("groups")).alias("group"), F.array_join(F.transform("fps", lambda x: F.hex(x)), "").alias("digits"))
-        .select("sig", "share", "group", F.unhex("digits").alias("fps")),
-        "tiles",
+        .select("sig", "share", "group", F.unhex("digits").alias("fps"))
     )
+
+    def within(batches):
+        for batch in batches:
+            own = map(numbers, batch.column("fps").to_pylist())
+            inner = [inside(len(x), close_pairs(x, x, lead, radius)).astype("<i4").tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inner, pa.binary())], names=[*batch.schema.names, "inner"])
+
+    with arrow_rows(spark, 64):
+        tiles = settle(dealt.mapInArrow(within, "sig long, share int, group int, fps binary, inner binary"), "tiles")
     offsets = F.array(*(F.lit(k).cast("long") for k in near_offsets(lead, parts)))
     asked = (
-        tiles.select(F.col("sig").alias("sig_a"), F.col("share").alias("share_a"), F.col("fps").alias("fps_a"), F.explode(F.transform(offsets, lambda k: k + F.col("sig"))).alias("sig"))
+        tiles.select(F.col("sig").alias("sig_a"), F.col("share").alias("share_a"), F.col("fps").alias("fps_a"), F.col("inner").alias("inner_a"), F.explode(F.transform(offsets, lambda k: k + F.col("sig"))).alias("sig"))
         .join(F.broadcast(sizes), "sig").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     )
-    pairs = asked.join(tiles, ["sig", "group"]).filter((F.col("sig_a") < F.col("sig")) | (F.col("share_a") <= F.col("share"))).select("fps_a", "fps")
-    width = len(fps.select("fp").first()["fp"]) if not fps.isEmpty() else 8
+    pairs = asked.join(tiles, ["sig", "group"]).filter((F.col("sig_a") < F.col("sig")) | (F.col("share_a") < F.col("share"))).select("fps_a", "inner_a", "fps", "inner")
+    alone = tiles.select(F.col("fps").alias("fps_a"), F.col("inner").alias("inner_a"), F.lit(None).cast("binary").alias("fps"), F.lit(None).cast("binary").alias("inner"))
 
     def run(batches):
         for batch in batches:
             ends, more = [], []
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = (np.frombuffer(z, ">u8").reshape(-1, width // 8).astype(np.uint64) for z in (x, y))
-                label = forest(a, b, lead, radius)
-                both = x + y
-                for row in np.nonzero(label != np.arange(len(label)))[0].tolist():
-                    one, other = both[label[row] * width : (label[row] + 1) * width], both[row * width : (row + 1) * width]
-                    if one != other:
-                        ends.append(one), more.append(other)
+            for x, own, y, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(own, "<i4").astype(np.int64)
+                if y is None:
+                    rows = np.nonzero(own != np.arange(len(own)))[0]
+                    first = own[rows]
+                else:
+                    first, rows = across(own, np.frombuffer(other, "<i4").astype(np.int64), close_pairs(numbers(x), numbers(y), lead, radius))
+                both = x + (y or b"")
+                ends += [both[k * width : (k + 1) * width] for k in first.tolist()]
+                more += [both[k * width : (k + 1) * width] for k in rows.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ends, pa.binary()), pa.array(more, pa.binary())], names=["a", "b"])
 
     with arrow_rows(spark, 64):
-        return settle(pairs.mapInArrow(run, "a binary, b binary").distinct(), "links")
+        return settle(alone.unionByName(pairs).mapInArrow(run, "a binary, b binary"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, lead: int = 3, parts: int = 4, tile: int = 1024) -> DataFrame:
@@ -219,45 +256,53 @@ def set_links(own: list[np.ndarray], other: list[np.ndarray] | None, similarity:
     similar = similarity.denominator * overlap >= similarity.numerator * union
     if other is None:
         similar = np.triu(similar, 1)
-    r, c = np.nonzero(similar)
-    return r, c + (n if other is not None else 0)
+    return np.nonzero(similar)
 
 
 def confirmed_links(sets: DataFrame, similarity: float, block: int = 4 << 20) -> DataFrame:
     """Links (a, b) between nodes of one ``label`` whose sets (label, node, hashes) are similar enough, enough to join all that are.
 
-    The sets of a label are dealt into blocks of about ``block`` bytes, and each two blocks are compared in one task, which gives at most one link a node.
+    The sets of a label are dealt into blocks of about ``block`` bytes. Like tiles, blocks are compared with themselves, then each two in one task.
     """
-    ship(sets.sparkSession)
+    spark = sets.sparkSession
+    ship(spark)
     exact = Fraction(similarity).limit_denominator(10_000)
     shares = sets.groupBy("label").agg(F.ceil(F.sum(F.length("hashes")) / block).cast("int").alias("shares")).withColumn("shares", F.greatest("shares", F.lit(1)))
-    blocks = settle(
+    dealt = (
         sets.join(shares, "label").groupBy("label", "shares", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"))
-        .agg(F.collect_list(F.struct("node", "hashes")).alias("members")),
-        "set-blocks",
+        .agg(F.collect_list("node").alias("nodes"), F.collect_list("hashes").alias("hashes"))
+    )
+    unpacked = lambda many: [np.frombuffer(x, "<u8") for x in many]
+
+    def within(batches):
+        for batch in batches:
+            inner = []
+            for own in batch.column("hashes").to_pylist():
+                inner.append(inside(len(own), [set_links(unpacked(own), None, exact)] if len(own) > 1 else []).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inner, pa.list_(pa.int32()))], names=[*batch.schema.names, "inner"])
+
+    with arrow_rows(spark, 16):
+        blocks = settle(dealt.mapInArrow(within, "label binary, shares int, share int, nodes array<binary>, hashes array<binary>, inner array<int>"), "set-blocks")
+    linked = F.filter(F.arrays_zip("nodes", F.transform("inner", lambda k: F.get(F.col("nodes"), k)).alias("first")), lambda x: x["nodes"] != x["first"])
+    alone = blocks.select(F.explode(linked).alias("x")).select(F.col("x.first").alias("a"), F.col("x.nodes").alias("b"))
+    many = blocks.filter("shares > 1").select("label", "shares", "share", "nodes", "hashes", "inner")
+    asked = many.filter("share < shares - 1").select(
+        "label", F.explode(F.sequence(F.col("share") + 1, F.col("shares") - 1)).alias("share"), F.col("nodes").alias("nodes_a"), F.col("hashes").alias("hashes_a"), F.col("inner").alias("inner_a")
     )
-    kind = blocks.schema["members"].dataType
-    alone = blocks.select("members", F.lit(None).cast(kind).alias("others"))
-    split = blocks.filter("shares > 1")
-    if not split.isEmpty():
-        asked = split.filter("share < shares - 1").select("label", "members", F.explode(F.sequence(F.col("share") + 1, F.col("shares") - 1)).alias("share"))
-        alone = alone.unionByName(asked.join(split.select("label", "share", F.col("members").alias("others")), ["label", "share"]).select("members", "others"))
+    pairs = asked.join(many, ["label", "share"]).select("nodes_a", "hashes_a", "inner_a", "nodes", "hashes", "inner")
 
     def run(batches):
         for batch in batches:
             ends, more = [], []
-            for k in range(batch.num_rows):
-                own, other = (None if not (x := batch.column(c)[k]).is_valid else x.values for c in ("members", "others"))
-                nodes = [x for part in (own, other) if part is not None for x in part.field("node").to_pylist()]
-                if len(nodes) > 1:
-                    a, b = (None if part is None else [np.frombuffer(x, "<u8") for x in part.field("hashes").to_pylist()] for part in (own, other))
-                    label = joined(len(nodes), *set_links(a, b, exact))
-                    for row in np.nonzero(label != np.arange(len(label)))[0].tolist():
-                        ends.append(nodes[label[row]]), more.append(nodes[row])
+            for nodes, own, inner, others, other, outer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, rows = across(np.array(inner, np.int64), np.array(outer, np.int64), [set_links(unpacked(own), unpacked(other), exact)])
+                both = nodes + others
+                ends += [both[k] for k in first.tolist()]
+                more += [both[k] for k in rows.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ends, pa.binary()), pa.array(more, pa.binary())], names=["a", "b"])
 
-    with arrow_rows(sets.sparkSession, 16):
-        return settle(alone.mapInArrow(run, "a binary, b binary"), "set-links")
+    with arrow_rows(spark, 16):
+        return settle(alone.unionByName(pairs.mapInArrow(run, "a binary, b binary")), "set-links")
 
 
 def _row_key(doc_id: Column, text_hash: Column) -> Column:
