@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .attention import BLOCK, SPAN, Model, Ranks, blocks_of
-from .common import settle, ship, slices, text_or_empty
+from .common import arrow_rows, settle, ship, slices, text_or_empty
 from .packing import ids_of_vocabulary
 
 COMMON, COMMON_LINES = 300_000, 100_000
@@ -331,6 +331,11 @@ def score_lines(encoded: DataFrame, lm: LanguageModel, lines: Counted, total: in
 
 def score_all(docs: DataFrame, training: Column, tokenizer_path: str, pattern: str, common: int = COMMON, common_lines: int = COMMON_LINES) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score, score of all rows, learned from those where ``training`` holds."""
+    with arrow_rows(docs.sparkSession, 500):  # rows are whole texts and their ids
+        return _score_all(docs, training, tokenizer_path, pattern, common, common_lines)
+
+
+def _score_all(docs: DataFrame, training: Column, tokenizer_path: str, pattern: str, common: int, common_lines: int) -> DataFrame:
     docs = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     subwords = Subwords(tokenizer_path, pattern)
     counts = settle(word_counts(docs.filter("training")), "word-counts")
