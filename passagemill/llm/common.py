@@ -30,6 +30,9 @@ def ship(spark: SparkSession) -> None:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     env.setdefault("OPENBLAS_NUM_THREADS", "1")  # a task has one core; more threads wait in loops
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default, for rows of numbers; these are whole texts
+        spark.conf.set(key, "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
