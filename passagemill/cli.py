@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     evaluate.add_argument("--k", type=int, nargs="+", default=list(metrics.CUTOFFS)), evaluate.add_argument("--metrics", nargs="+", default=list(report.LEADERBOARD))
 
     pairs = commands.add_parser("convert", help="a question and passage table to a dataset")
-    pairs.add_argument("input", help="Parquet with a split column"), pairs.add_argument("output")
+    pairs.add_argument("input", help="Parquet with a split column, or a folder of one table a split"), pairs.add_argument("output")
     for role in convert.ROLES:
         pairs.add_argument(f"--{role.replace('_', '-')}-column")
     return top
@@ -54,7 +54,7 @@ def _build(spark: SparkSession, a) -> None:
     fingerprint = readers.verify_source_file(spark, a.source, expected_sha256=a.sha256, expected_rows=a.rows)
     counter = (lambda: lengths.rank_file_counter(a.rank_file, a.pattern)) if a.rank_file else (lambda: lengths.count_words)
     policy = dataset.Policy(
-        Sizes(a.most, a.target, a.overlap, a.least), a.max_citation_words, most_gold_chunks=a.max_gold_chunks, most_query_tokens=a.max_query_tokens,
+        Sizes(a.most, a.target, a.overlap, a.least, version="tokens-1" if a.rank_file else "words-1"), a.max_citation_words, most_gold_chunks=a.max_gold_chunks, most_query_tokens=a.max_query_tokens,
         need_answer_text=not a.allow_empty_answers, keep_unquestioned=a.keep_documents_without_queries,
     )
     made = dataset.build(readers.read_source_rows_strict(spark, a.source), policy, counter)
@@ -109,12 +109,16 @@ def _evaluate(spark: SparkSession, a) -> None:
     found = report.comparison_report(means, metrics.coverage(runs, qrels), qrels, provenance, qrels_sha256=readers.file_sha256(a.qrels), generation=None)
     sinks.write_report(found, a.output, a.runs)
     print(report.leaderboard_text(metrics.long_form(means), tuple(a.metrics)))
+    labels = report.run_labels(report.with_models(means.select("run").distinct(), provenance))
+    print("\n" + report.means_text(report.metric_means(metrics.long_form(means), labels)))
 
 
 def _convert(spark: SparkSession, a) -> None:
     explicit = {r: v for r in convert.ROLES if (v := getattr(a, f"{r}_column"))}
-    for name, df in convert.convert_pairs(spark.read.parquet(a.input), **explicit).items():
-        sinks.write_json_lines(df, Path(a.output) / f"{name}.jsonl", *[c for c in ("split", "_id", "query_id", "chunk_id") if c in df.columns])
+    made = convert.convert_pairs(readers.read_splits(spark, a.input), **explicit)
+    for name in ("corpus", "queries", "candidates"):
+        sinks.write_json_lines(made[name], Path(a.output) / f"{name}.jsonl", *[c for c in ("split", "_id", "query_id") if c in made[name].columns])
+    sinks.write_split_qrels(made["qrels"], Path(a.output) / "qrels")
 
 
 def main(arguments: list[str] | None = None) -> int:

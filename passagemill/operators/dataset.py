@@ -82,7 +82,8 @@ def prepare(sources: DataFrame, sizes: Sizes, counter: Callable[[], Counter] = l
 
 def first_wins(rows: DataFrame, key: str = "document_id", order: str = "source_row") -> DataFrame:
     """``rows`` with is_repeated: all but the first row of a key; blank keys are never repeated."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    alone = F.when(F.coalesce(F.col(key), F.lit("")) == "", F.col(order))  # blank keys needn't meet in one task
+    nth = F.row_number().over(Window.partitionBy(F.col(key), alone).orderBy(order))
     return rows.withColumn("is_repeated", (F.col(key) != "") & (nth > 1))
 
 
@@ -115,8 +116,8 @@ def build(rows: DataFrame, policy: Policy = Policy(), counter: Callable[[], Coun
     count = F.pandas_udf(lambda texts: texts.map(counter()), "int")
     questions = asked.filter("not is_blank").join(documents.select("document_id"), "document_id", "left_semi").withColumn("query_tokens", count("text"))
     cited = questions.select("document_id", "query_id", F.posexplode("citations").alias("ordinal", "citation_id"))
-    spans = usable.select("document_id", F.inline("spans"))
-    resolved = settle(evidence.resolve_citations(cited, spans, documents, policy.citation_words, policy.whole_document))
+    spans = evidence.measured_spans(usable)
+    resolved = settle(evidence.resolve_citations(cited, spans, policy.citation_words, policy.whole_document))
     fine = resolved.filter("reason is null")
     images = settle(evidence.map_to_chunks(fine, chunks))
     per_question = fine.groupBy("query_id").agg(F.count("*").alias("evidence_spans")).join(

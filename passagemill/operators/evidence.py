@@ -11,28 +11,34 @@ WHOLE_DOCUMENT = 0.9
 MOST_WORDS = 300
 
 
-def citation_reason(span: Column, text: Column, cleaned_length: Column, most_words: int, whole: float = WHOLE_DOCUMENT) -> Column:
+def citation_reason(span: Column, words: Column, cleaned_length: Column, most_words: int, whole: float = WHOLE_DOCUMENT) -> Column:
     """Why a citation can't be used, the first reason that holds; null if it can.
 
-    span: struct with ``found`` (the element exists), ``start`` and ``end`` in the cleaned text (-1 if removed). ``text`` is the span's text.
+    span: struct with ``found`` (the element exists), ``start`` and ``end`` in the cleaned text (-1 if removed). ``words`` counts those of the span's text.
     """
     return (
         F.when(~F.coalesce(span["found"], F.lit(False)), "element_not_found")
         .when(span["start"] < 0, "removed_by_cleaning")
-        .when(word_count(text) > most_words, "exceeds_max_words")
+        .when(words > most_words, "exceeds_max_words")
         .when((span["end"] - span["start"]).cast("double") / cleaned_length > whole, "covers_whole_document")
     )
 
 
-def resolve_citations(citations: DataFrame, spans: DataFrame, documents: DataFrame, most_words: int = MOST_WORDS, whole: float = WHOLE_DOCUMENT) -> DataFrame:
+def measured_spans(documents: DataFrame) -> DataFrame:
+    """Rows of ``spans`` of documents (document_id, text, spans) with word_count and document_length; taken where the text is, which goes no further."""
+    words = lambda s: word_count(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    own = F.transform("spans", lambda s: s.withField("word_count", words(s)).withField("document_length", F.length("text")))
+    return documents.select("document_id", F.inline(own))
+
+
+def resolve_citations(citations: DataFrame, spans: DataFrame, most_words: int = MOST_WORDS, whole: float = WHOLE_DOCUMENT) -> DataFrame:
     """citations (document_id, query_id, ordinal, citation_id) with start, end, source_start, source_end, word_count and reason.
 
-    spans: document_id, citation_id, start, end, source_start, source_end. documents: document_id, text (cleaned).
+    spans, of :func:`measured_spans`: document_id, citation_id, start, end, source_start, source_end, word_count, document_length.
     """
-    found = citations.join(spans.withColumn("found", F.lit(True)), ["document_id", "citation_id"], "left").join(documents.select("document_id", "text"), "document_id", "left")
-    cited = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    reason = citation_reason(F.struct("found", "start", "end"), cited, F.length("text"), most_words, whole)
-    return found.select(*citations.columns, "start", "end", "source_start", "source_end", word_count(cited).alias("word_count"), reason.alias("reason"))
+    found = citations.join(spans.withColumn("found", F.lit(True)), ["document_id", "citation_id"], "left")
+    reason = citation_reason(F.struct("found", "start", "end"), F.col("word_count"), F.col("document_length"), most_words, whole)
+    return found.select(*citations.columns, "start", "end", "source_start", "source_end", "word_count", reason.alias("reason"))
 
 
 def map_to_chunks(spans: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -36,6 +36,15 @@ def metric_means(tall: DataFrame, labels: DataFrame) -> DataFrame:
     return tall.join(labels, "run").select(F.element_at(parts, 1).alias("family"), F.element_at(parts, 2).cast("int").alias("k"), "label", "value")
 
 
+def means_text(means: DataFrame) -> str:
+    """The means of every family and cutoff as text, a line for each label; it has one row a run."""
+    names = [f"{r['family']}@{r['k']}" for r in means.select("family", "k").distinct().orderBy("family", "k").collect()]
+    wide = means.withColumn("metric", F.concat_ws("@", "family", "k")).groupBy("label").pivot("metric", names).agg(F.first("value")).orderBy("label").collect()
+    cells = [["", *names], *([r["label"], *("-" if r[n] is None else f"{r[n]:.4f}" for n in names)] for r in wide)]
+    widths = [max(map(len, column)) for column in zip(*cells, strict=True)]
+    return "\n".join("  ".join(x.ljust(w) if k == 0 else x.rjust(w) for k, (x, w) in enumerate(zip(row, widths, strict=True))).rstrip() for row in cells)
+
+
 def with_models(means: DataFrame, provenance: DataFrame) -> DataFrame:
     """Attach model_id by run; null where a run has no provenance."""
     return means.join(provenance.select("run", "model_id").dropDuplicates(["run"]), "run", "left")

@@ -74,20 +74,19 @@ def _blocks(df: DataFrame, key: str, name: str, block: int) -> DataFrame:
     return dealt.groupBy("document_id", "share").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(name)).drop("share")
 
 
-def document_search(queries: DataFrame, chunks: DataFrame, k: int = 100, block: int = 512) -> DataFrame:
-    """query_id, chunk_id, score, rank where every passage of the question's document is a candidate and the question itself is none.
+def _matrix(rows: pa.StructArray) -> np.ndarray:
+    """Vectors at unit length; a zero vector has no direction and gives no number."""
+    flat = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
-    Questions (query_id, document_id, embedding) and passages (chunk_id, document_id, embedding) meet in blocks, so a join row is a matrix product and not a pair; each
-    block keeps the k best of a question, and the blocks' results are ranked together. Products are summed in one order for all pairs, so equal vectors tie exactly.
-    """
-    if k <= 0:
-        raise ValueError("top_k must be positive")
-    ship(queries.sparkSession)
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
 
-    def matrix(rows: pa.StructArray) -> np.ndarray:
-        flat = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+#: Cosines are rounded to so many digits before they are ranked: matrix products differ in the last bits with a vector's place, and equal vectors must tie.
+DIGITS = 12
+
+
+def _best_of_blocks(met: DataFrame, types: tuple, k: int, digits: int = DIGITS, least: float = -np.inf) -> DataFrame:
+    """query_id, chunk_id, score: of each question in ``asked`` the k best rows of ``held``, both blocks of (id, v), by rounded cosine, above ``least``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,18 +95,58 @@ def document_search(queries: DataFrame, chunks: DataFrame, k: int = 100, block:
                 asked, held = asked.values, held.values
                 ids, query_ids = np.array(held.field("id").to_pylist()), np.array(asked.field("id").to_pylist())
                 place = ids.argsort(kind="stable").argsort(kind="stable")
-                scores = np.einsum("ij,kj->ik", matrix(asked), matrix(held))
-                scores[query_ids[:, None] == ids[None, :]] = -np.inf
+                scores = np.round(_matrix(asked) @ _matrix(held).T, digits)
+                scores[~(scores > least)] = -np.inf
+                if types[0] == types[1]:
+                    scores[query_ids[:, None] == ids[None, :]] = -np.inf
                 for row, name in enumerate(query_ids):
-                    best = np.lexsort((place, -scores[row]))[:k]
+                    near = np.argpartition(-scores[row], k - 1)[:k] if k < len(ids) else np.arange(len(ids))
+                    near = np.nonzero(scores[row] >= scores[row, near].min())[0]  # ties of the last one are judged by id
+                    best = near[np.lexsort((place[near], -scores[row, near]))[:k]]
                     best = best[np.isfinite(scores[row, best])]
                     out[0].extend([name] * len(best)), out[1].extend(ids[best]), out[2].extend(scores[row, best])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], to_arrow_type(types[0])), pa.array(out[1], to_arrow_type(types[1])), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "score"])
 
+    return met.select("asked", "held").mapInArrow(compare, f"query_id {types[0].simpleString()}, chunk_id {types[1].simpleString()}, score double")
+
+
+def document_search(queries: DataFrame, chunks: DataFrame, k: int = 100, block: int = 512) -> DataFrame:
+    """query_id, chunk_id, score, rank where every passage of the question's document is a candidate and the question itself is none.
+
+    Questions (query_id, document_id, embedding) and passages (chunk_id, document_id, embedding) meet in blocks, so a join row is a matrix product and not a pair; each
+    block keeps the k best of a question, and the blocks' results are ranked together.
+    """
+    if k <= 0:
+        raise ValueError("top_k must be positive")
+    ship(queries.sparkSession)
     types = (queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType)
     met = _blocks(queries, "query_id", "asked", block).join(_blocks(chunks, "chunk_id", "held", block), "document_id")
-    found = met.select("asked", "held").mapInArrow(compare, f"query_id {types[0].simpleString()}, chunk_id {kind}, score double")
-    return top_k(found, k)
+    return top_k(_best_of_blocks(met, types, k), k)
+
+
+def corpus_search(queries: DataFrame, chunks: DataFrame, k: int = 100, block: int = 512, digits: int = DIGITS, least: float = -np.inf) -> DataFrame:
+    """query_id, chunk_id, score, rank where all passages are candidates of all questions; ids of one type that are equal are no result.
+
+    Questions (query_id, embedding) are dealt into blocks. Passages (chunk_id, embedding) stay where they are, an Arrow batch a block, and are joined with each block
+    of questions by its number; each block of passages keeps the k best of a question.
+    """
+    if k <= 0:
+        raise ValueError("top_k must be positive")
+    ship(queries.sparkSession)
+    types = (queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType)
+    shares = max(1, -(-queries.count() // block))
+    asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias("asked"))
+    row = f"struct<id:{types[1].simpleString()},v:array<double>>"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                items = pa.StructArray.from_arrays([batch.column("id"), batch.column("v")], ["id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], names=["held"])
+
+    held = chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(pack, f"held array<{row}>")
+    met = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).join(asked, "share")
+    return top_k(_best_of_blocks(met, types, k, digits, least), k)
 
 
 def score_all(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, similarity: str = "dot") -> DataFrame:

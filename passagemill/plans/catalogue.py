@@ -70,6 +70,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.document_pairs(_asked(spark, sf_dir), _vectors(spark, sf_dir)).filter("query_id <> chunk_id")
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other vector of the question's label as its candidates."""
+    chunks = _vectors(spark, sf_dir).withColumn("chunk_index", F.col("chunk_id"))
+    lists = evidence.candidate_lists(_asked(spark, sf_dir), chunks)
+    return lists.withColumn("candidate_ids", F.filter("candidate_ids", lambda c: c != F.col("query_id")))
+
+
 def _runs_and_judgments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pairs = _pairs(spark, sf_dir)
     front = lambda c: F.slice(c, 1, 16)
@@ -95,7 +102,15 @@ def scoped_search_every_vector(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT query_id, chunk_id, round(list_inner_product(q.e, c.e), 6) AS score FROM scored JOIN v q ON q.vec_id = query_id JOIN v c ON c.vec_id = chunk_id")
 def scoped_score_all(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("query_id", "chunk_id", F.round(vectors.dot(F.col("query_vector"), F.col("chunk_vector")), 6).alias("score"))
+    return search.score_all(_asked(spark, sf_dir), _candidates(spark, sf_dir), _vectors(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_PAIRS} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM scored WHERE chunk_id % 3 <> query_id % 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10")
+def candidate_list_search(spark, sf_dir):
+    """Search within a list of candidates for each question, which leaves out some of its document's passages."""
+    lists = _candidates(spark, sf_dir).withColumn("candidate_ids", F.filter("candidate_ids", lambda c: c % 3 != F.col("query_id") % 3))
+    found = search.scoped_search(_asked(spark, sf_dir), lists, _vectors(spark, sf_dir), 10)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT vec_id, label, (len(embedding) = 64 AND abs(sqrt(list_inner_product(e, e)) - 1) <= 0.001) AS is_unit FROM (SELECT *, list_transform(embedding, lambda x: x::DOUBLE * (CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END)) AS e FROM embeddings)")
@@ -104,10 +119,11 @@ def vector_validation(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.is_unit(scaled, 64).alias("is_unit"))
 
 
-@query("SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings")
+@query("SELECT vec_id, 1.0::DOUBLE AS norm, round(e[1] / sqrt(list_inner_product(e, e)), 3) + 0 AS first, round(e[64] / sqrt(list_inner_product(e, e)), 3) + 0 AS last FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 5)) AS e FROM embeddings)")
 def l2_normalize_norms(spark, sf_dir):
-    tripled = F.transform("embedding", lambda x: x * 3)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(vectors.normalize(tripled)), 5).alias("norm"))
+    stretched = F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 5))
+    found = table(spark, sf_dir, "embeddings").select("vec_id", vectors.normalize(stretched).alias("unit"))
+    return found.select("vec_id", F.round(vectors.norm(F.col("unit")), 5).alias("norm"), F.round(F.get("unit", F.lit(0)).cast("double"), 3).alias("first"), F.round(F.get("unit", F.lit(63)).cast("double"), 3).alias("last"))
 
 
 @query(f'WITH {_METRICS} SELECT run, k, "NDCG", "MAP", "Recall", "P", "MRR", "Pass" FROM means')
@@ -262,14 +278,31 @@ _IMAGES = f"""{_BLOCKS}, {_EVIDENCE}, met AS (SELECT s.doc_id, item_id, chunk_in
     images AS (SELECT * FROM met WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, chunk_index) = 1)"""
 
 
+#: Anchors up to which they may be joined beside the texts; a join with more carries ids alone.
+FEW_ANCHORS = 100_000
+
+
 def _cited_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages in documents: an equi-join on the hash of a passage's second to ninth words proposes, a search confirms."""
-    windows = lambda own: F.transform(F.sequence(F.lit(1), F.size(own) - 7), lambda k: F.xxhash64(F.slice(own, k, 8)))
+    """Benchmark passages in documents: an equi-join on the hash of a passage's inner words proposes, a search confirms.
+
+    A passage's first and last word may be parts of longer ones in a document, so its anchor is its second word and up to seven more, but not the last.
+    Passages without an inner word are searched for as they are.
+    """
     split = lambda: F.split("text", r"[\x20\x09-\x0D]+", -1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", split().alias("w"))
-    anchors = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("cited"), F.xxhash64(F.slice(split(), 2, 8)).alias("anchor"))
-    hits = docs.filter(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(windows(F.col("w")))).alias("anchor")).join(anchors, "anchor")
-    found = hits.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", F.expr("instr(text, cited)")).filter("at > 0")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("cited"), split().alias("w")).withColumn("n", F.least(F.lit(8), F.size("w") - 2))
+    anchors = items.filter("n > 0").select("item_id", "cited", F.xxhash64("n", F.slice("w", F.lit(2), F.col("n"))).alias("anchor"))
+    lengths = [r["n"] for r in items.filter("n > 0").select("n").distinct().collect()]  # eight at most
+    windows = lambda own, n: F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.size(own) - n + 1), lambda k: F.xxhash64(F.lit(n), F.slice(own, k, n)))).otherwise(F.array())
+    every = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *(windows(F.col("w"), n) for n in lengths)))
+    few = anchors.count() <= FEW_ANCHORS
+    proposed = docs.select("doc_id", *(["text"] if few else []), split().alias("w")).select("doc_id", *(["text"] if few else []), F.explode(every).alias("anchor"))
+    hits = proposed.join(F.broadcast(anchors) if few else anchors, "anchor")
+    hits = (hits if few else hits.join(docs, "doc_id")).select("doc_id", "item_id", "cited", "text")
+    bare = items.filter("n <= 0").select("item_id", "cited")
+    if not bare.isEmpty():
+        hits = hits.unionByName(docs.join(bare, F.expr("instr(text, cited) > 0")).select("doc_id", "item_id", "cited", "text"))
+    found = hits.withColumn("at", F.expr("instr(text, cited)")).filter("at > 0")
     return found.select("doc_id", "item_id", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("cited")).alias("end"), "cited", F.length("text").alias("doc_length"))
 
 
@@ -295,7 +328,7 @@ def evidence_spans(spark, sf_dir):
 def citation_filter_reasons(spark, sf_dir):
     found = table(spark, sf_dir, "benchmark").select("item_id").join(_cited_spans(spark, sf_dir).withColumn("found", F.lit(True)), "item_id", "left")
     moved = found.withColumn("start", F.expr("if(item_id % 7 = 3, -1, start)"))
-    return moved.select("doc_id", "item_id", evidence.citation_reason(F.struct("found", "start", "end"), F.col("cited"), F.col("doc_length"), 45, 0.5).alias("reason"))
+    return moved.select("doc_id", "item_id", evidence.citation_reason(F.struct("found", "start", "end"), text.word_count(F.col("cited")), F.col("doc_length"), 45, 0.5).alias("reason"))
 
 
 @query(f"WITH {_IMAGES} SELECT doc_id, item_id, chunk_index, overlap FROM images")
@@ -413,15 +446,15 @@ def _buckets(content: Column) -> Column:
         SELECT item_id AS query_id, doc_id AS chunk_id, round(dot / (qnorms.norm * norms.norm), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(dot / (qnorms.norm * norms.norm), 9) DESC, doc_id)::INTEGER AS rank
         FROM dots JOIN norms USING (doc_id) JOIN qnorms USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(dot / (qnorms.norm * norms.norm), 9) DESC, doc_id) <= 5""")
 def bow_embedding_topk(spark, sf_dir):
-    def weights(df: DataFrame, key: str) -> DataFrame:
-        counts = F.aggregate(F.col("b"), F.array_repeat(F.lit(0), 32), lambda acc, k: F.transform(acc, lambda n, i: n + (i == k).cast("int")))
-        return df.select(F.col(key).alias("id"), _buckets(F.col("text")).alias("b")).select("id", counts.alias("v")).select("id", "v", F.sqrt(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)).alias("norm"))
-
-    docs, items = weights(table(spark, sf_dir, "documents"), "doc_id"), weights(table(spark, sf_dir, "benchmark"), "item_id")
-    asked = items.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"))  # the stated questions, a table of fixed size
-    dot = F.aggregate(F.zip_with("v", "qv", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = docs.join(F.broadcast(asked), dot > 0).select("query_id", F.col("id").alias("chunk_id"), F.round(dot / (F.col("qnorm") * F.col("norm")), 9).alias("score"))
-    return search.top_k(scored, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    def weights(df: DataFrame, key: str, name: str) -> DataFrame:
+        counts = df.select(F.col(key).alias(name), F.explode(_buckets(F.col("text"))).alias("b")).groupBy(name, "b").agg(F.count("*").alias("n"))
+        held = counts.groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+        return held.select(name, F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias("embedding"))
+
+    docs, items = weights(table(spark, sf_dir, "documents"), "doc_id", "chunk_id"), weights(table(spark, sf_dir, "benchmark"), "item_id", "query_id")
+    # ids of two tables: equal ones are different things, so they differ in type
+    found = search.corpus_search(items.withColumn("query_id", F.col("query_id").cast("string")), docs, 5, digits=9, least=0.0)
+    return found.select(F.col("query_id").cast(table(spark, sf_dir, "benchmark").schema["item_id"].dataType).alias("query_id"), "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

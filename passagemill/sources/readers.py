@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -127,9 +128,15 @@ def read_qrels_strict(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line_no (from 1) of one text file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n"))).select(F.col("col").alias("value"), (F.col("pos") + 1).alias("line_no")).filter(F.trim("value") != "")
+    """value, line_no (from 1) of one text file, whose parts are read apart.
+
+    A split's rows are consecutive, so a line's number is its place in the split and the lines of splits before it; there is one row a split to sum those.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", r"\r\z", "").alias("value"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(splits.select("split", "first", before.alias("before")), "split")
+    return placed.select("value", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no")).filter(F.trim("value") != "")
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -151,9 +158,47 @@ def _judged(df: DataFrame) -> DataFrame:
     return df
 
 
+# -- folders of datasets ----------------------------------------------------------------------
+
+
+#: Readers of a split's table by its file's ending.
+SPLIT_FORMATS = {".parquet": "parquet", ".jsonl": "json", ".json": "json", ".csv": "csv"}
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """Rows with ``split``: a table that has the column, or a folder of tables, each named after its split."""
+    tables = sorted(p for p in Path(path).iterdir() if p.suffix in SPLIT_FORMATS and not p.name.startswith("part-")) if Path(path).is_dir() else []
+    if not tables:
+        found = spark.read.parquet(path)
+        if "split" not in found.columns:
+            raise ValueError(f"{path}: no split column")
+        return found
+    out = None
+    for p in tables:
+        options = {"header": True, "multiLine": True, "escape": '"'} if p.suffix == ".csv" else {}
+        one = spark.read.format(SPLIT_FORMATS[p.suffix]).options(**options).load(str(p)).withColumn("split", F.lit(p.stem.split("-")[0]))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def read_beir(spark: SparkSession, folder: str, split: str = "test") -> dict[str, DataFrame]:
+    """corpus (chunk_id, title, text), queries (query_id, text) of those judged, and qrels (query_id, chunk_id, relevance) of a split."""
+    qrels = read_qrels(spark, f"{folder}/qrels/{split}.tsv")
+    shape = "_id string, title string, text string"
+    corpus = _not_empty(read_json_lines(spark, f"{folder}/corpus.jsonl", schemas.schema(shape)).withColumnRenamed("_id", "chunk_id"), "passages")
+    queries = read_queries(spark, f"{folder}/queries.jsonl").join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+    return {"corpus": corpus, "queries": queries, "qrels": qrels}
+
+
 # -- runs -------------------------------------------------------------------------------------
 
 
+def may_be_report(path: Path) -> bool:
+    """Whether a JSON file begins like a report, so that long runs needn't be read to tell."""
+    with path.open(encoding="utf-8") as file:
+        return re.match(r'\s*\{\s*"(?:k_values|generation|judgments|models)"', file.read(4096)) is not None
+
+
 def is_metrics_report(text: str) -> bool:
     """Whether a JSON file in a runs folder is a report of this engine and no run."""
     try:
@@ -198,14 +243,14 @@ def _checked_run(scored: DataFrame, path: str, run: str) -> DataFrame:
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """JSON or TREC, told apart by the first character."""
-    head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1)).first()
+    head = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1)).filter(F.ltrim("value") != "").first()
     reader = read_run_json if head and head[0] in ("{", "[") else read_run_trec
     return reader(spark, path, Path(path).stem)
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """All runs of a folder; reports are passed over, anything malformed fails."""
-    paths = [p for p in sorted(Path(folder).iterdir()) if p.suffix in RUN_SUFFIXES and not (p.suffix == ".json" and is_metrics_report(p.read_text()))]
+    paths = [p for p in sorted(Path(folder).iterdir()) if p.suffix in RUN_SUFFIXES and not (p.suffix == ".json" and may_be_report(p) and is_metrics_report(p.read_text()))]
     if not paths:
         raise ValueError(f"no runs in {folder}")
     out = read_run(spark, str(paths[0]))

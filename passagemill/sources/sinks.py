@@ -67,6 +67,13 @@ def write_tsv(df: DataFrame, path: str | Path, *order: str) -> int:
     return n
 
 
+def write_split_qrels(qrels: DataFrame, folder: str | Path) -> dict[str, int]:
+    """Judgments (split, query_id, chunk_id, relevance) as one sorted table a split, with the usual header; the lines of each."""
+    shaped = qrels.select("split", F.col("query_id").alias("query-id"), F.col("chunk_id").alias("corpus-id"), F.col("relevance").alias("score"))
+    names = sorted(r["split"] for r in shaped.select("split").distinct().collect())  # one row a split
+    return {n: write_tsv(shaped.filter(F.col("split") == n).drop("split"), Path(folder) / f"{n}.tsv", "query-id", "corpus-id") for n in names}
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """The distributed form: one file a task, committed by Spark."""
     writer = df.write.mode("errorifexists")

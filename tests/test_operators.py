@@ -312,3 +312,55 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_lines_of_files_in_many_splits_keep_their_numbers(spark, tmp_path):
+    path = tmp_path / "run.trec"
+    lines = [f"q{k} Q0 c{k} {k} {k / 7:.3f} tag" if k % 13 else "" for k in range(3000)]
+    path.write_bytes("\r\n".join(lines).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = readers.numbered_lines(spark, str(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["line_no"], r["value"]) for r in found) == [(k + 1, x) for k, x in enumerate(lines) if x]
+
+
+def test_folders_of_splits_and_judgments_a_split(spark, tmp_path):
+    spark.createDataFrame([("q one", "p one", "d1")], "question string, positive string, document_id string").toPandas().to_json(tmp_path / "train.jsonl", orient="records", lines=True)
+    (tmp_path / "test.csv").write_text('question,positive,document_id\n"q, two","p two",d2\n')
+    rows = readers.read_splits(spark, str(tmp_path))
+    assert sorted((r["split"], r["question"]) for r in rows.collect()) == [("test", "q, two"), ("train", "q one")]
+    made = convert.convert_pairs(rows)
+    out = tmp_path / "beir"
+    assert sinks.write_split_qrels(made["qrels"], out / "qrels") == {"test": 1, "train": 1}
+    for name in ("corpus", "queries"):
+        sinks.write_json_lines(made[name], out / f"{name}.jsonl", "_id")
+    loaded = readers.read_beir(spark, str(out), "test")
+    assert [r["text"] for r in loaded["queries"].collect()] == ["q, two"] and loaded["corpus"].count() == 2
+    assert [(r["query_id"], r["relevance"]) for r in loaded["qrels"].collect()] == [(loaded["queries"].first()["query_id"], 1)]
+
+
+def test_search_of_a_whole_corpus_in_blocks(spark):
+    import numpy as np
+
+    random = np.random.default_rng(0)
+    own = random.integers(0, 3, (300, 6)).astype(float)
+    own[7] = 0
+    asked = random.integers(0, 3, (40, 6)).astype(float)
+    chunks = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(own)], "chunk_id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(f"q{k}", v.tolist()) for k, v in enumerate(asked)], "query_id string, embedding array<double>")
+    want = []
+    for k, q in enumerate(asked):
+        scores = [(-round(float(q @ v / np.sqrt(q @ q) / np.sqrt(v @ v)), 9), c) for c, v in enumerate(own) if v.any() and q.any() and q @ v > 0]
+        want += [(f"q{k}", c, n + 1) for n, (_, c) in enumerate(sorted(scores)[:4])]
+    found = search.corpus_search(queries, chunks, 4, block=16, digits=9, least=0.0).select("query_id", "chunk_id", "rank").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+    with pytest.raises(ValueError):
+        search.corpus_search(queries, chunks, 0)
+
+
+def test_blank_keys_are_never_repeated(spark):
+    rows = spark.createDataFrame([(k, key) for k, key in enumerate(["", "a", "", "a", "b", ""])], "source_row long, document_id string")
+    assert [r["is_repeated"] for r in dataset.first_wins(rows).orderBy("source_row").collect()] == [False, False, False, True, False, False]
