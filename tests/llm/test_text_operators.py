@@ -268,7 +268,7 @@ def test_very_many_parts_cost_near_their_length(docs_of):
     text = "token=abcdefghijkl user: bob é " * 40_000
     began = time.time()
     row = secret_scan.scan(docs_of([text])).select("strong", "spans").first()
-    assert time.time() - began < 60
+    assert time.time() - began < 120  # a quadratic form takes many minutes
     assert [(s["start"], s["kind"], s["end"]) for s in row["strong"]] == base_spans(text)
     assert len(row["spans"]) == 80_000
     out = secret_scan.redact(docs_of([text, "x"])).orderBy("doc_id").collect()
