@@ -54,7 +54,7 @@ class _Reader(HTMLParser):
 
     def shut(self) -> str:
         tag, name, start = self.open.pop()
-        if name:
+        if name and start < self.length:  # an empty element holds no character
             self.intervals.append((name, start, self.length))
         return tag
 

@@ -132,6 +132,10 @@ def test_html_like_character_by_character(parts):
     assert html_to_text("".join(parts)) == naive_html("".join(parts))
 
 
+def test_empty_elements_inside_a_word_have_no_span():
+    assert html_to_text('a<b id="b"></b>c') == naive_html('a<b id="b"></b>c') == ("ac", {})
+
+
 def test_cleaning_rules():
     cleaned = Cleaned("Veja www.exemplo.com aqui")
     assert cleaned.text == "Veja https://www.exemplo.com aqui"
