@@ -15,6 +15,7 @@ from .functions.chunking import Sizes
 from .operators import convert, dataset, index, metrics, report, retrieve
 from .sources import embed, readers, sinks
 from .sources.snapshot import Publisher
+from .worker import written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,7 +58,7 @@ def _build(spark: SparkSession, a) -> None:
         Sizes(a.most, a.target, a.overlap, a.least, version="tokens-1" if a.rank_file else "words-1"), a.max_citation_words, most_gold_chunks=a.max_gold_chunks, most_query_tokens=a.max_query_tokens,
         need_answer_text=not a.allow_empty_answers, keep_unquestioned=a.keep_documents_without_queries,
     )
-    made = dataset.build(readers.read_source_rows_strict(spark, a.source), policy, counter)
+    made = dataset.build(readers.read_source_rows_strict(spark, a.source), policy, counter, settle=written)
     facts = {"source_sha256": fingerprint.sha256, "source_row_count": fingerprint.rows, "chunking": vars(policy.sizes), "length_unit": "tokens" if a.rank_file else "words", "max_citation_words": policy.citation_words}
     snapshot = Publisher(spark, a.root).publish(made.artifacts, made.summary.first().asDict(), facts=facts)
     print(json.dumps({"generation_id": snapshot.manifest["generation_id"], **snapshot.manifest["summary"]}))
@@ -88,24 +89,20 @@ def _rank(spark: SparkSession, a) -> None:
     output = Path(a.output)
     beside = output.parent.with_name(output.parent.name + ".provenance") / f"{output.stem}.json"
 
-    def settle(df):
-        kept = df.persist()  # questions are sent once: their vectors are kept before they are used
-        kept.count()
-        return kept
-
-    run, facts = retrieve.rank(snapshot, index.IndexStore(spark, a.store), profile, model_revision=a.revision, embed_queries=lambda df: embed.embed(df, client, "queries"), settle=settle, k=a.top_k)
+    # questions are sent once: their vectors are written before they are used
+    run, facts = retrieve.rank(snapshot, index.IndexStore(spark, a.store), profile, model_revision=a.revision, embed_queries=lambda df: embed.embed(df, client, "queries"), settle=written, k=a.top_k)
     sinks.write_run(run, output, a.format)
     sinks.write_report({"run_file": output.name, **facts}, beside, output.parent)
 
 
 def _evaluate(spark: SparkSession, a) -> None:
-    qrels, runs = readers.read_qrels(spark, a.qrels), readers.read_runs(spark, a.runs).persist()
+    qrels, runs = readers.read_qrels(spark, a.qrels), written(readers.read_runs(spark, a.runs))
     empty = [r["run"] for r in metrics.unjudged_runs(runs, qrels).collect()]
     if empty:
         raise ValueError(f"runs without a judged question: {', '.join(empty)}")
     named = [(p.stem, readers.run_model_id(str(p))) for p in sorted(Path(a.runs).iterdir())]
     provenance = spark.createDataFrame(named, "run string, model_id string")
-    means = metrics.evaluate(runs, qrels, tuple(a.k)).persist()
+    means = written(metrics.evaluate(runs, qrels, tuple(a.k)))
     found = report.comparison_report(means, metrics.coverage(runs, qrels), qrels, provenance, qrels_sha256=readers.file_sha256(a.qrels), generation=None)
     sinks.write_report(found, a.output, a.runs)
     print(report.leaderboard_text(metrics.long_form(means), tuple(a.metrics)))
