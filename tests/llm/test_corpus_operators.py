@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from passagemill.llm import attention, components, language_id, lm_scoring, near_dup, queries, sharding, topk, url_filter
@@ -472,6 +473,31 @@ def test_results_merge_in_a_tree_as_at_once(docs_of, monkeypatch):
     assert all(np.allclose(one.model.p[n], tree.model.p[n], atol=1e-5) for n in one.model.p)
 
 
+def test_rows_are_summed_wherever_they_stand():
+    random = np.random.default_rng(0)
+    rows = np.concatenate([random.integers(0, 9, 500), [attention.START, attention.ROWS - 1, 700, 700]]).astype(np.int16)
+    values = random.standard_normal((len(rows), 5)).astype(np.float32)
+    found, sums = attention._by_row(rows.reshape(12, -1), values.reshape(12, -1, 5))
+    assert found.tolist() == sorted(set(rows.tolist()))
+    assert np.allclose(sums, [values[rows == r].sum(axis=0) for r in found], atol=1e-4)
+
+
+def test_workers_give_back_the_tables_of_earlier_stages(docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of([f"word {k} of many" for k in range(40)])
+    lm_scoring.score_all(docs, F.lit(True), VOCABULARY, PATTERN).count()
+
+    def held(batches):
+        from passagemill.llm.lm_scoring import ids_of_vocabulary
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([ids_of_vocabulary.cache_info().currsize] * batch.num_rows, pa.int64())], names=["n"])
+
+    last = docs.sparkSession.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()
+    assert {r["n"] for r in last} == {0}
+
+
 def test_what_occurs_twice_stands_apart(docs_of):
     from pyspark.sql import functions as F
 
