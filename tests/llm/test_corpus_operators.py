@@ -445,6 +445,22 @@ def test_scores_of_documents_are_those_of_the_definitions(docs_of, monkeypatch):
     assert models[-1].learned_tokens == sum(len(models[-1].subwords.ids(models[-1].subwords.lines(t or ""))[0]) for t, h in zip(texts, held, strict=True) if not h)
 
 
+def test_base_columns_of_the_query_are_those_of_its_contract(spark, docs_of, tmp_path):
+    texts = [*ODD, "The cat THE Cat", "the CAT É é", "word WORD wOrd\x0bthe", *(f"Line {k % 5} of THE text" for k in range(30))]
+    docs_of(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    lower = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+    words = [[*filter(None, re.split(r"[\x20\x09-\x0D]+", (t or "").translate(lower))), ""] for t in texts]
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
+    counts = Counter(w for own, h in zip(words, held, strict=True) if not h for w in own)
+    n, v = sum(counts.values()), len(counts)
+    rows = {r["doc_id"]: r for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for k, own in enumerate(words):
+        r = rows[k]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(own), sum(counts[w] > 0 for w in own), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), abs=1e-8)
+
+
 def test_scores_do_not_depend_on_partitioning(docs_of):
     from pyspark.sql import functions as F
 
