@@ -361,6 +361,24 @@ def test_search_of_a_whole_corpus_in_blocks(spark):
         search.corpus_search(queries, chunks, 0)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_search_in_documents_keeps_one_result_a_question(spark, monkeypatch, kind):
+    """Ties, zero vectors and documents of many blocks; a question's results don't add up over blocks."""
+    import numpy as np
+
+    drawn = np.random.default_rng(1).integers(-1, 2, (400, 4)).astype(float)
+    name = (lambda k: k) if kind == "long" else (lambda k: f"c{k:04d}")
+    every = spark.createDataFrame([(name(k), k % 3 % 2, v.tolist()) for k, v in enumerate(drawn)], f"chunk_id {kind}, document_id int, embedding array<float>").repartition(4)
+    want = []
+    for k, q in enumerate(drawn):
+        scores = [(-round(float(q @ v / np.sqrt(q @ q) / np.sqrt(v @ v)), 12), c) for c, v in enumerate(drawn) if c != k and c % 3 % 2 == k % 3 % 2 and v.any() and q.any()]
+        want += [(name(k), name(c), n + 1) for n, (_, c) in enumerate(sorted(scores)[:5])]
+    asked = every.withColumnRenamed("chunk_id", "query_id")
+    assert sorted(map(tuple, search.document_search(asked, every, 5, block=32).select("query_id", "chunk_id", "rank").collect())) == sorted(want)
+    monkeypatch.setattr(search, "top_k", lambda scored, k: scored)
+    assert search.document_search(asked, every, 5, block=32).count() == len(want)
+
+
 def test_blank_keys_are_never_repeated(spark):
     rows = spark.createDataFrame([(k, key) for k, key in enumerate(["", "a", "", "a", "b", ""])], "source_row long, document_id string")
     assert [r["is_repeated"] for r in dataset.first_wins(rows).orderBy("source_row").collect()] == [False, False, False, True, False, False]
