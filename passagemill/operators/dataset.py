@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +21,7 @@ from ..functions.cleaning import ENTITY, Cleaned, decodable_entities, violation_
 from ..functions.html_text import html_to_text
 from ..functions.lengths import Counter, count_words
 from ..functions.questions import VALID, explode_questions, has_answer_text, read_sources
-from ..worker import ship
+from ..worker import record_batch, ship, slices
 from . import evidence
 
 _SPAN = schemas.schema("citation_id string, start int, end int, source_start int, source_end int")
@@ -61,11 +61,11 @@ def prepare(sources: DataFrame, sizes: Sizes, counter: Callable[[], Counter] = l
     """PREPARED rows of (source_row, document_id, data)."""
     ship(sources.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(sizes, counter(), is_heading)
-        for batch in batches:
+        for batch in slices(batches, "data"):
             rows = []
-            for row, document, html in zip(batch["source_row"], batch["document_id"], batch["data"], strict=True):
+            for row, document, html in zip(*(batch.column(c).to_pylist() for c in ("source_row", "document_id", "data")), strict=True):
                 raw, found = html_to_text(html or "")
                 cleaned = Cleaned(raw)
                 starts, ends = cleaned.map_spans([s for s, _ in found.values()], [e for _, e in found.values()])
@@ -75,9 +75,9 @@ def prepare(sources: DataFrame, sizes: Sizes, counter: Callable[[], Counter] = l
                 events = [dict(zip(_EVENT.names, e, strict=True)) for e in cleaned.events]
                 chunks = [dict(zip(CHUNK_SCHEMA.names[1:], c[1:], strict=True)) for c in chunk_rows(document, cleaned.text, splitter)]
                 rows.append((row, document, cleaned.text, spans, events, decodable_entities(cleaned.text), chunks))
-            yield pd.DataFrame(rows, columns=PREPARED.names)
+            yield record_batch(rows, PREPARED)
 
-    return sources.select("source_row", "document_id", "data").mapInPandas(run, PREPARED)
+    return sources.select("source_row", "document_id", "data").mapInArrow(run, PREPARED)
 
 
 def first_wins(rows: DataFrame, key: str = "document_id", order: str = "source_row") -> DataFrame:

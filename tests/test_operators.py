@@ -379,6 +379,28 @@ def test_search_in_documents_keeps_one_result_a_question(spark, monkeypatch, kin
     assert search.document_search(asked, every, 5, block=32).count() == len(want)
 
 
+def test_passages_leave_a_worker_in_slices(spark):
+    import pyarrow as pa
+
+    from passagemill.functions import chunking
+
+    class Caught:
+        """Gives the function that a worker would run."""
+
+        sparkSession = spark  # noqa: N815
+        select = selectExpr = lambda self, *columns: self  # noqa: N815
+        mapInArrow = lambda self, run, schema: run  # noqa: N815
+
+    texts = [*(f"word {k} of a text" for k in range(1000)), None, "", "x " * 600_000, "last one"]
+    rows, names = range(len(texts)), [f"d{k}" for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(names), pa.array(texts), pa.array(texts)], names=["source_row", "document_id", "text", "data"])
+    chunks = list(chunking.chunk_documents(Caught(), SIZES)(iter([batch])))
+    prepared = list(dataset.prepare(Caught(), SIZES)(iter([batch])))
+    assert max(len(set(b.column("document_id").to_pylist())) for b in chunks) <= 64 and max(b.num_rows for b in prepared) <= 64
+    assert {d for b in chunks for d in b.column("document_id").to_pylist()} == {d for d, t in zip(names, texts, strict=True) if t}
+    assert [d for b in prepared for d in b.column("document_id").to_pylist()] == names
+
+
 def test_blank_keys_are_never_repeated(spark):
     rows = spark.createDataFrame([(k, key) for k, key in enumerate(["", "a", "", "a", "b", ""])], "source_row long, document_id string")
     assert [r["is_repeated"] for r in dataset.first_wins(rows).orderBy("source_row").collect()] == [False, False, False, True, False, False]
