@@ -401,6 +401,28 @@ def test_passages_leave_a_worker_in_slices(spark):
     assert [d for b in prepared for d in b.column("document_id").to_pylist()] == names
 
 
+def test_runs_end_at_the_largest_cutoff(spark):
+    """Scores summed in order are to the bit those of the expressions, equal ones go to the larger id, and deeper runs and rarer judgments change no metric."""
+    import numpy as np
+
+    from passagemill.functions.vectors import cosine, dot
+
+    drawn = np.random.default_rng(2).standard_normal((150, 7)).astype(np.float32)
+    drawn[75:] = drawn[:75]
+    every = spark.createDataFrame([(k, 0, v.tolist()) for k, v in enumerate(drawn)], "chunk_id long, document_id int, embedding array<float>")
+    asked = every.filter("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    pairs = search.document_pairs(asked, every).filter("query_id <> chunk_id")
+    first = lambda c: F.slice(c, 1, 3)
+    judged = pairs.filter("chunk_id % 7 = query_id % 7").select("query_id", "chunk_id", F.expr("chunk_id % 4 - 1").alias("relevance"))
+    for measure, score in ((search.InOrder(cosine=True), cosine(F.col("query_vector"), F.col("chunk_vector"))), (search.InOrder(3), dot(first("query_vector"), first("chunk_vector")))):
+        whole = pairs.select(F.lit("a").alias("run"), "query_id", "chunk_id", score.alias("score"))
+        short = search.document_best(asked, every, 5, measure, block=16, last_first=True).withColumn("run", F.lit("a"))
+        want = metrics.ranked(whole, judged, 5).join(whole, ["run", "query_id", "chunk_id"]).select("query_id", "chunk_id", "rank", "score")
+        got = metrics.ranked(short, judged).join(short, ["run", "query_id", "chunk_id"]).select("query_id", "chunk_id", "rank", "score")
+        assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect()))
+        assert sorted(map(tuple, metrics.evaluate(whole, judged, (1, 5)).collect())) == sorted(map(tuple, metrics.evaluate(short, judged, (1, 5)).collect()))
+
+
 def test_blank_keys_are_never_repeated(spark):
     rows = spark.createDataFrame([(k, key) for k, key in enumerate(["", "a", "", "a", "b", ""])], "source_row long, document_id string")
     assert [r["is_repeated"] for r in dataset.first_wins(rows).orderBy("source_row").collect()] == [False, False, False, True, False, False]
