@@ -423,6 +423,18 @@ def test_runs_end_at_the_largest_cutoff(spark):
         assert sorted(map(tuple, metrics.evaluate(whole, judged, (1, 5)).collect())) == sorted(map(tuple, metrics.evaluate(short, judged, (1, 5)).collect()))
 
 
+def test_the_flagship_looks_for_spans_once(spark, sf_dir, monkeypatch):
+    from passagemill.plans import catalogue
+
+    plans, texts, inner, lines = [], [], catalogue._cited_spans, catalogue._lines
+    monkeypatch.setattr(catalogue, "_cited_spans", lambda *a: plans.append(inner(*a)) or plans[-1])
+    monkeypatch.setattr(catalogue, "_lines", lambda *a: texts.append(lines(*a)) or texts[-1])
+    made = catalogue.flagship(spark, sf_dir)
+    assert len(plans) == 1 and "documents.parquet" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 6
+    cited = {r["doc_id"] for r in plans[0].collect()}
+    assert all({r["doc_id"] for r in x.select("doc_id").distinct().collect()} == cited for x in texts)
+
+
 def test_blank_keys_are_never_repeated(spark):
     rows = spark.createDataFrame([(k, key) for k, key in enumerate(["", "a", "", "a", "b", ""])], "source_row long, document_id string")
     assert [r["is_repeated"] for r in dataset.first_wins(rows).orderBy("source_row").collect()] == [False, False, False, True, False, False]
